@@ -22,14 +22,14 @@ def table(spark, directory, name):
 def load():
     """Import every module that registers queries."""
     from tabloom.plans import (  # noqa: F401
-        #algorithm_queries,
-        #eligibility_queries,
-        #evaluation_queries,
+        algorithm_queries,
+        eligibility_queries,
+        evaluation_queries,
         #model_queries,
         profile_queries,
-        #scoring_queries,
+        scoring_queries,
         #source_queries,
-        #split_queries,
+        split_queries,
         value_queries,
     )
 
