@@ -1,6 +1,7 @@
 """The six models. Each fit takes encoded rows and returns a small fitted record."""
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
@@ -33,6 +34,9 @@ DEPTH = 12
 LEAF_ROWS = 2
 KMEANS_STARTS = 10
 KMEANS_ITERATIONS = 300
+
+# Room for the statistics of the tree nodes grown in one pass; more room, fewer passes.
+FOREST_MEMORY_MB = 1_024
 DEFAULT_GROUPS = 3
 DEFAULT_COMPONENTS = 2
 
@@ -121,6 +125,15 @@ def label_index(label, labels):
     return index
 
 
+def spread(df):
+    """At least one task per core for data that is read again in every iteration.
+
+    Only tables of a few file splits are affected; large ones keep their partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fit_model(model_id, encoded, option=None, labels=(), seed=SEED):
     """Fit on training rows with columns `features` and, if supervised, `label`."""
     fit = {
@@ -143,7 +156,7 @@ def _logistic(encoded, option, labels, seed):
     rows = encoded.count()
     model = LogisticRegression(
         regParam=1.0 / (INVERSE_PENALTY * rows), elasticNetParam=0.0, standardization=False,
-        maxIter=LOGISTIC_ITERATIONS, tol=1e-8,
+        maxIter=LOGISTIC_ITERATIONS,
     ).fit(_indexed(encoded, labels))
     if model.summary.totalIterations >= LOGISTIC_ITERATIONS:
         raise TableError("CONVERGENCE", "The candidate did not converge.", "Try another model.")
@@ -152,7 +165,7 @@ def _logistic(encoded, option, labels, seed):
 
 def _classifier_forest(encoded, option, labels, seed):
     model = RandomForestClassifier(
-        numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF_ROWS, seed=seed, featureSubsetStrategy="sqrt",
+        numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF_ROWS, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=FOREST_MEMORY_MB,
     ).fit(_indexed(encoded, labels))
     return FittedModel("classification.forest", labels, model)
 
@@ -168,7 +181,7 @@ def _linear(encoded, option, labels, seed):
 
 def _regressor_forest(encoded, option, labels, seed):
     model = RandomForestRegressor(
-        numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF_ROWS, seed=seed, featureSubsetStrategy="all",
+        numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF_ROWS, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=FOREST_MEMORY_MB,
     ).fit(_numeric(encoded))
     return FittedModel("regression.forest", (), model)
 
@@ -177,9 +190,11 @@ def _kmeans(encoded, option, labels, seed):
     k = DEFAULT_GROUPS if option is None else option
     data = encoded.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        tries = [
-            KMeans(k=k, maxIter=KMEANS_ITERATIONS, seed=seed + i).fit(data) for i in range(KMEANS_STARTS)
-        ]
+        # The starts are independent, so their jobs share the cluster.
+        with ThreadPool(KMEANS_STARTS) as pool:
+            tries = pool.map(
+                lambda i: KMeans(k=k, maxIter=KMEANS_ITERATIONS, seed=seed + i).fit(data), range(KMEANS_STARTS)
+            )
         best = min(tries, key=lambda m: m.summary.trainingCost)
         formed = best.transform(data).agg(F.countDistinct("prediction")).first()[0]
     finally:

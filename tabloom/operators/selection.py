@@ -98,16 +98,18 @@ def exact_medians(df, columns, small=SMALL, accuracy=10_000):
         return {}
     c = [col(n) for n in columns]
     counts = df.agg(*[F.count(x).alias(f"n{i}") for i, x in enumerate(c)]).first()
-    ranks = {}
-    for i in range(len(columns)):
-        n = counts[i]
-        if n:
-            ranks[i] = sorted({(n - 1) // 2, n // 2})
-    found = _order_statistics(df, c, {i: counts[i] for i in ranks}, ranks, small, accuracy)
-    return {
-        name: sum(found[i][r] for r in ranks[i]) / len(ranks[i]) if i in ranks else None
-        for i, name in enumerate(columns)
+    medians = {name: None for name in columns}
+    # The built-in exact median keeps all distinct values of a column in one task.
+    few = [i for i in range(len(columns)) if 0 < counts[i] <= small]
+    if few:
+        row = df.agg(*[F.median(c[i]) for i in few]).first()
+        medians.update({columns[i]: row[n] for n, i in enumerate(few)})
+    ranks = {
+        i: sorted({(counts[i] - 1) // 2, counts[i] // 2}) for i in range(len(columns)) if counts[i] > small
     }
+    found = _order_statistics(df, c, {i: counts[i] for i in ranks}, ranks, small, accuracy)
+    medians.update({columns[i]: sum(found[i][r] for r in ranks[i]) / len(ranks[i]) for i in ranks})
+    return medians
 
 
 def _order_statistics(df, c, sizes, ranks, small, accuracy):
@@ -173,6 +175,6 @@ def _order_statistics(df, c, sizes, ranks, small, accuracy):
     return found
 
 
-def test_quota(n):
+def held_out(n):
     """Held-out rows of n: one fifth, rounded up."""
     return math.ceil(n / 5)

@@ -8,7 +8,7 @@ from tabloom.contracts import SEED
 from tabloom.errors import TableError
 from tabloom.functions.names import col
 from tabloom.operators.rows import row_hash
-from tabloom.operators.selection import hash_cutoffs, test_quota, within_cutoff
+from tabloom.operators.selection import hash_cutoffs, held_out, within_cutoff
 
 TRAIN, TEST = "train", "test"
 
@@ -20,7 +20,7 @@ def _tagged(df, is_test):
 def shuffled_holdout(df, row_id, seed=SEED):
     """Exactly ceil(n/5) rows become test rows, chosen by seeded hash of the row id."""
     digest = row_hash(col(row_id), seed)
-    cutoffs = hash_cutoffs(df, digest, {"": test_quota(df.count())})
+    cutoffs = hash_cutoffs(df, digest, {"": held_out(df.count())})
     return _tagged(df, within_cutoff(digest, cutoffs))
 
 
@@ -31,7 +31,7 @@ def stratified_quotas(counts):
     integers.
     """
     total = sum(counts.values())
-    wanted = test_quota(total)
+    wanted = held_out(total)
     quotas = {label: n * wanted // total for label, n in counts.items()}
     rest = sorted(counts, key=lambda label: (-(counts[label] * wanted % total), label))
     for label in rest[: wanted - sum(quotas.values())]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import components, lloyd
 from tabloom.operators.descent import GradientLogistic
-from tabloom.plans.catalog import query, table
+from tabloom.plans.catalog import plain_zero, query, table
 
 STEPS, GROUPS = 3, 3
 _POINTS = "p AS (SELECT p_partkey AS id, p_size / 50.0::double AS x, p_retailprice / 1000.0::double AS y FROM part)"
@@ -62,11 +62,11 @@ COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 4) AS covariance FROM lineitem"
+    f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 4) + 0.0::double AS covariance FROM lineitem"
     for i, a in enumerate(COLUMNS) for b in COLUMNS[i:]))
 def covariance_matrix(spark, directory):
     rows = components.covariance_rows(table(spark, directory, "lineitem"), COLUMNS)
-    return rows.withColumn("covariance", F.round("covariance", 4))
+    return rows.withColumn("covariance", plain_zero(F.round("covariance", 4)))
 
 
 # Two columns, where axes and variances have a closed form.
@@ -100,11 +100,11 @@ def pca_two_columns(spark, directory):
     return out.withColumns({c: F.round(c, 6) for c in ("variance", "ratio", "wx", "wy")})
 
 
-@query(f"WITH {_AXES} SELECT l_orderkey, l_linenumber, l_partkey, round((x - mx) * ux + (y - my) * uy, 5) AS pc1 FROM p, z")
+@query(f"WITH {_AXES} SELECT l_orderkey, l_linenumber, l_partkey, round((x - mx) * ux + (y - my) * uy, 5) + 0.0::double AS pc1 FROM p, z")
 def pca_scores(spark, directory):
     rows = _pair(spark, directory)
     model = components.CovariancePCA(1).fit(rows, ["x", "y"])
-    return model.transform(rows).select("l_orderkey", "l_linenumber", "l_partkey", F.round("pc1", 5).alias("pc1"))
+    return model.transform(rows).select("l_orderkey", "l_linenumber", "l_partkey", plain_zero(F.round("pc1", 5)).alias("pc1"))
 
 
 @query(f"""WITH {_AXES}, s AS (SELECT x, y, mx, my, ux, uy, (x - mx) * ux + (y - my) * uy AS t FROM p, z)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabloom.operators import evaluate, ranking
-from tabloom.plans.catalog import query, table
+from tabloom.plans.catalog import plain_zero, query, table
 from tabloom.plans.split_queries import ORDERS_SHUFFLED, ORDERS_STRATIFIED, orders_shuffled, orders_stratified
 
 # A rule that answers the order status from its priority.
@@ -95,23 +95,24 @@ def regression_metrics(spark, directory):
     return scores.withColumns({"mae": F.round("mae", 4), "rmse": F.round("rmse", 4), "r2": F.round("r2", 6)})
 
 
-@query(f"""WITH {_PRICED} SELECT count(*) AS count, round(avg(label - prediction), 4) AS mean,
+@query(f"""WITH {_PRICED} SELECT count(*) AS count, round(avg(label - prediction), 4) + 0.0::double AS mean,
   round(min(label - prediction), 4) AS minimum, round(max(label - prediction), 4) AS maximum FROM x""")
 def residual_summary(spark, directory):
     row = evaluate.residual_summary(_priced(spark, directory))
-    return row.withColumns({n: F.round(n, 4) for n in ("mean", "minimum", "maximum")})
+    return row.withColumns({n: plain_zero(F.round(n, 4)) for n in ("mean", "minimum", "maximum")})
 
 
 @query(f"""WITH {ORDERS_SHUFFLED}, m AS (SELECT avg(o_totalprice) AS mean FROM s WHERE split = 'train')
 SELECT round(mean, 4) AS mean, round(avg(abs(o_totalprice - mean)), 4) AS mae, round(sqrt(avg((o_totalprice - mean) ** 2)), 4) AS rmse,
-  round(1 - sum((o_totalprice - mean) ** 2) / (var_pop(o_totalprice) * count(*)), 6) AS r2
+  round(1 - sum((o_totalprice - mean) ** 2) / (var_pop(o_totalprice) * count(*)), 6) + 0.0::double AS r2
 FROM s, m WHERE split = 'test' GROUP BY mean""")
 def mean_baseline(spark, directory):
     rows = orders_shuffled(spark, directory)
     base = evaluate.mean_baseline(
         rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test"), "o_totalprice"
     )
-    return base.withColumns({"mean": F.round("mean", 4), "mae": F.round("mae", 4), "rmse": F.round("rmse", 4), "r2": F.round("r2", 6)})
+    return base.withColumns({"mean": F.round("mean", 4), "mae": F.round("mae", 4), "rmse": F.round("rmse", 4),
+                             "r2": plain_zero(F.round("r2", 6))})
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::double[] AS x FROM embeddings

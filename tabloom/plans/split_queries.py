@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom.contracts import ColumnType
 from tabloom.operators import preprocess, split
-from tabloom.plans.catalog import query, table
+from tabloom.plans.catalog import plain_zero, query, table
 
 # The same splits for the SQL side.
 SHUFFLED = """s AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || {key})) <= ceil(count(*) OVER () / 5.0)
@@ -82,14 +82,14 @@ def impute_median(spark, directory):
 @query(f"""WITH {CUSTOMER_TRAIN}, m AS (SELECT median(balance) AS b, median(nation) AS n FROM r),
 f AS (SELECT c_custkey, coalesce(balance, b) AS balance, coalesce(nation, n) AS nation FROM r, m),
 z AS (SELECT avg(balance) AS ab, stddev_pop(balance) AS sb, avg(nation) AS an, stddev_pop(nation) AS sn FROM f)
-SELECT c_custkey, round((balance - ab) / sb, 6) AS balance, round((nation - an) / sn, 6) AS nation,
+SELECT c_custkey, round((balance - ab) / sb, 6) + 0.0::double AS balance, round((nation - an) / sn, 6) + 0.0::double AS nation,
   0.0::double AS nothing, 0.0::double AS seven FROM f, z""")
 def scale_standard(spark, directory):
     train = customer_train(spark, directory)
     names = ["balance", "nation", "nothing", "seven"]
     prep = preprocess.fit_preprocessor(train, {n: ColumnType.NUMBER for n in names}, True)
     encoded = preprocess.encode(train, prep, as_vector=False)
-    return encoded.select("c_custkey", *[F.round(F.col("features")[i], 6).alias(n) for i, n in enumerate(names)])
+    return encoded.select("c_custkey", *[plain_zero(F.round(F.col("features")[i], 6)).alias(n) for i, n in enumerate(names)])
 
 
 def part_sides(spark, directory):

@@ -105,7 +105,8 @@ def _line_effects(delimiter):
 def quoting_summary(spark, path, delimiter=","):
     """Per file split: the state at its end and its first broken line, for both starts.
 
-    Rows: file, block, lines, end_outside, bad_outside, end_inside, bad_inside.
+    Rows: file, block, lines, end_outside, bad_outside, end_inside, bad_inside, spans;
+    `spans` tells whether a record goes over a line end when the split starts outside.
     """
     effects_of = _line_effects(delimiter)
 
@@ -113,22 +114,24 @@ def quoting_summary(spark, path, delimiter=","):
         splits = {}
         for batch in batches:
             for file, block, value in zip(batch["file"], batch["block"], batch["value"]):
-                state = splits.setdefault((file, block), [0, OUTSIDE, -1, INSIDE, -1])
+                state = splits.setdefault((file, block), [0, OUTSIDE, -1, INSIDE, -1, False])
                 steps = effects_of(value)
                 for start in (1, 3):
                     if state[start] != BROKEN:
                         state[start] = steps[state[start]]
                         if state[start] == BROKEN:
                             state[start + 1] = state[0]
+                state[5] = state[5] or state[1] == INSIDE
                 state[0] += 1
         yield pd.DataFrame(
             [(f, b, *s) for (f, b), s in splits.items()],
-            columns=["file", "block", "lines", "end_outside", "bad_outside", "end_inside", "bad_inside"],
+            columns=["file", "block", "lines", "end_outside", "bad_outside", "end_inside", "bad_inside", "spans"],
         )
 
     return lines(spark, path).select("file", "block", F.regexp_replace("value", f"^{BOM}", "").alias("value")).mapInPandas(
         fold,
-        "file string, block bigint, lines bigint, end_outside int, bad_outside bigint, end_inside int, bad_inside bigint",
+        "file string, block bigint, lines bigint, end_outside int, bad_outside bigint, end_inside int, bad_inside bigint,"
+        " spans boolean",
     )
 
 
@@ -145,7 +148,7 @@ def quoting_audit(spark, path, delimiter=","):
         end, bad = (r["end_outside"], r["bad_outside"]) if state == OUTSIDE else (r["end_inside"], r["bad_inside"])
         if end == BROKEN:
             return line + bad + 1, spans
-        spans = spans or state == INSIDE or end == INSIDE
+        spans = spans or state == INSIDE or r["spans"]
         state, line = end, line + r["lines"]
     return (line if state == INSIDE else None), spans
 

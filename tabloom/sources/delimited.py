@@ -46,28 +46,36 @@ def read_delimited(spark, path, delimiter=",", multiline=None, malformed="fail",
         multiline = spans if multiline is None else multiline
     elif multiline is None:
         multiline = audits.spanning_lines(spark, path, delimiter)
+    table = _table(spark, path, names, delimiter, multiline)
+    if malformed == "quarantine":
+        return _table(spark, path, names, delimiter, multiline, whole=True)
+    if audit:
+        whole = _table(spark, path, names, delimiter, multiline, whole=True)
+        if whole.where(F.col(CORRUPT).isNotNull()).select(col(names[0]), CORRUPT).take(1):
+            raise TableError("ROW_WIDTH", "Some records do not match the header.", "Fix or quarantine them.")
+        audits.require_rows(table)
+    return table
+
+
+def _table(spark, path, names, delimiter, multiline, whole=False):
+    """Without `whole`, only the columns asked for are parsed and widths are not checked."""
     fields = [StructField(n, StringType()) for n in names]
-    table = (
-        spark.read.schema(StructType(fields + [StructField(CORRUPT, StringType())]))
+    if whole:
+        fields.append(StructField(CORRUPT, StringType()))
+    return (
+        spark.read.schema(StructType(fields))
         .option("sep", delimiter)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
-        .option("enforceSchema", True)
+        .option("columnPruning", not whole)
         .option("maxCharsPerColumn", -1)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    if malformed == "quarantine":
-        return table
-    if audit and not table.where(F.col(CORRUPT).isNotNull()).isEmpty():
-        raise TableError("ROW_WIDTH", "Some records do not match the header.", "Fix or quarantine them.")
-    if audit:
-        audits.require_rows(table.drop(CORRUPT))
-    return table.select(*[col(n) for n in names])
 
 
 def write_delimited(df, path, delimiter=","):
