@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import functions as F
 
 from tabloom.functions.names import col
-from tabloom.operators.lloyd import require_finite
+from tabloom.operators.lloyd import require_finite, require_numeric
+from tabloom.operators.rows import spread
 
 # Bounds of the exponent and of the probabilities inside the loss.
 EXPONENT_LIMIT = 500.0
@@ -56,8 +57,9 @@ class GradientLogistic:
 
     def fit(self, df, columns, label):
         self.columns = list(columns)
+        require_numeric(df, [*self.columns, label])
         y = col(label).cast("double")
-        data = df.select(y.alias("__y"), *[col(c).cast("double").alias(c) for c in columns]).persist()
+        data = spread(df.select(y.alias("__y"), *[col(c).cast("double").alias(c) for c in columns])).persist()
         try:
             require_finite(data, self.columns)
             if not data.agg(F.bool_and(F.coalesce(F.col("__y").isin(0.0, 1.0), F.lit(False)))).first()[0]:

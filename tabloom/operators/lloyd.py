@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 from tabloom.contracts import SEED
 from tabloom.errors import TableError
 from tabloom.functions.names import col
-from tabloom.operators.rows import row_hash
+from tabloom.operators.rows import row_hash, spread
 from tabloom.operators.selection import smallest_rows
 
 
-def require_finite(df, columns):
-    """Fail unless the table has rows and every value is a finite number."""
+NUMERIC = ("double", "float", "integer", "long", "short", "byte", "decimal")
+
+
+def require_numeric(df, columns):
     if not columns:
         raise TableError("INPUT", "At least one numeric column is needed.")
     for name in columns:
-        if df.schema[name].dataType.typeName() not in ("double", "float", "integer", "long", "short", "byte", "decimal"):
+        if df.schema[name].dataType.typeName() not in NUMERIC:
             raise TableError("INPUT", "All columns must be numeric.", column=name)
+
+
+def require_finite(df, columns):
+    """Fail unless the table has rows and every value is a finite number."""
+    require_numeric(df, columns)
     good = F.lit(True)
     for name in columns:
         good = good & F.coalesce(F.abs(col(name).cast("double")) < float("inf"), F.lit(False))
@@ -87,7 +94,8 @@ class LloydKMeans:
 
     def fit(self, df, row_id, columns, start=None):
         self.columns = list(columns)
-        data = df.select(col(row_id).alias("__id"), *[col(c).cast("double").alias(c) for c in columns]).persist()
+        require_numeric(df, self.columns)
+        data = spread(df.select(col(row_id).alias("__id"), *[col(c).cast("double").alias(c) for c in columns])).persist()
         try:
             if self.n_clusters > require_finite(data, self.columns):
                 raise ValueError("There are fewer rows than clusters")

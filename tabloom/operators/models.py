@@ -125,15 +125,6 @@ def label_index(label, labels):
     return index
 
 
-def spread(df):
-    """At least one task per core for data that is read again in every iteration.
-
-    Only tables of a few file splits are affected; large ones keep their partitions.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fit_model(model_id, encoded, option=None, labels=(), seed=SEED):
     """Fit on training rows with columns `features` and, if supervised, `label`."""
     fit = {

@@ -49,31 +49,27 @@ def _nested(df, name):
 
 
 def cells(df, row_id, columns=None):
-    """One row per cell: column position, row id, raw text (null when missing).
-
-    Tables that know the source kind of each cell also get it, as a bit in `kind`.
-    """
+    """One row per cell: column position, row id, raw text (null when missing), kind bit."""
     names = [n for n in df.columns if n != row_id] if columns is None else list(columns)
     if not names:
         raise TableError("HEADERS", "The table has no columns to profile.")
-    kinds = any(_nested(df, n) for n in names)
 
-    def cell(name):
+    def cell(position, name):
         raw = F.when(~is_missing(raw_of(df, name)), raw_of(df, name))
-        if not kinds:
-            return raw
-        source = col(name).getField("kind") if _nested(df, name) else F.lit("text")
-        bit = F.when(source == "number", KIND_BITS["number"]).when(
-            source == "boolean", KIND_BITS["boolean"]
-        ).otherwise(KIND_BITS["text"])
-        return F.struct(raw.alias("raw"), bit.alias("kind"))
-
-    wide = df.select(col(row_id).alias("row_id"), *[cell(n).alias(f"c{i}") for i, n in enumerate(names)])
-    long = wide.unpivot("row_id", [f"c{i}" for i in range(len(names))], "position", "cell")
-    position = F.coalesce(F.substring("position", 2, 10).try_cast("int"), F.lit(-1)).alias("position")
-    if kinds:
-        return long.select("row_id", position, "cell.raw", "cell.kind"), names
-    return long.select("row_id", position, F.col("cell").alias("raw"), F.lit(KIND_BITS["text"]).alias("kind")), names
+        bit = F.lit(KIND_BITS["text"])
+        if _nested(df, name):
+            source = col(name).getField("kind")
+            bit = (
+                F.when(source == "number", KIND_BITS["number"])
+                .when(source == "boolean", KIND_BITS["boolean"])
+                .otherwise(KIND_BITS["text"])
+            )
+        return F.struct(F.lit(position).alias("position"), raw.alias("raw"), bit.alias("kind"))
+
+    # Generated rows rather than `unpivot`: the planner recognises two uses of them as
+    # one, which it does not for the expansion behind `unpivot`.
+    rows = F.inline(F.array(*[cell(i, n) for i, n in enumerate(names)]))
+    return df.select(col(row_id).alias("row_id"), rows), names
 
 
 def _distinct(long):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom.contracts import ColumnType, Task
 from tabloom.operators import evaluate, models, preprocess, score, split
+from tabloom.operators.rows import spread
 from tabloom.plans.catalog import query, table
 from tabloom.plans.split_queries import SHUFFLED
 
@@ -39,7 +40,7 @@ def fit_side(rows, types, model_id, option=None):
     train = rows.where(F.col("split") == split.TRAIN)
     prep = preprocess.fit_preprocessor(train, types, models.model_spec(model_id).scale)
     kept = ["features", *([F.col("__label").alias("label")] if task.supervised else [])]
-    encoded = models.spread(preprocess.encode(train, prep).select(*kept)).persist()
+    encoded = spread(preprocess.encode(train, prep).select(*kept)).persist()
     labels = ()
     if task == Task.CLASSIFICATION:
         labels = tuple(sorted(r[0] for r in encoded.select("label").distinct().collect()))
@@ -53,8 +54,8 @@ def _test_predictions(rows, scorer):
     return scorer.model.apply(preprocess.encode(test, scorer.preprocessor))
 
 
-def _class_scores(rows, model_id):
-    scorer = fit_side(rows, CLASS_INPUTS, model_id)
+def _class_scores(rows, model_id, types):
+    scorer = fit_side(rows, types, model_id)
     labels = evaluate.label_counts(rows.where(F.col("split") == split.TRAIN), "__label")
     pairs = evaluate.pair_counts(_test_predictions(rows, scorer), "__label")
     return evaluate.classification_metrics(pairs, labels)
@@ -62,12 +63,23 @@ def _class_scores(rows, model_id):
 
 @query()
 def fit_logistic(spark, directory):
-    return _class_scores(_classified(spark, directory), "classification.logistic")
+    return _class_scores(_classified(spark, directory), "classification.logistic", CLASS_INPUTS)
+
+
+ORDER_INPUTS = {"customer": ColumnType.NUMBER, "price": ColumnType.NUMBER, "priority": ColumnType.CATEGORY}
+
+
+def _orders(spark, directory):
+    return table(spark, directory, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("double").alias("customer"), F.col("o_totalprice").alias("price"),
+        F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"),
+    )
 
 
 @query()
 def fit_forest_classifier(spark, directory):
-    return _class_scores(_classified(spark, directory), "classification.forest")
+    rows = split.stratified_holdout(_orders(spark, directory), "o_orderkey", "status")
+    return _class_scores(rows.withColumnRenamed("status", "__label"), "classification.forest", ORDER_INPUTS)
 
 
 def _priced(spark, directory):
@@ -84,8 +96,9 @@ def fit_linear(spark, directory):
 
 @query()
 def fit_forest_regressor(spark, directory):
-    rows = _priced(spark, directory)
-    scorer = fit_side(rows, PRICE_INPUTS, "regression.forest")
+    rows = split.shuffled_holdout(_orders(spark, directory), "o_orderkey").withColumnRenamed("price", "__label")
+    types = {"customer": ColumnType.NUMBER, "priority": ColumnType.CATEGORY, "status": ColumnType.CATEGORY}
+    scorer = fit_side(rows, types, "regression.forest")
     return evaluate.regression_metrics(_test_predictions(rows, scorer), "__label")
 
 
