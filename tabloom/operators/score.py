@@ -152,7 +152,7 @@ def score(scorer, df, keep=(), strict=True):
     """Predictions and warnings for every row of a batch or streaming DataFrame.
 
     The input has exactly the fitted fields plus the columns in `keep`, which pass
-    through. With `strict`, one unusable value stops the whole job; otherwise such rows
+    through; the first of them names a record in errors. With `strict`, one unusable value stops the whole job; otherwise such rows
     come out with `errors` filled and no prediction.
     """
     if set(df.columns) != set(scorer.inputs) | set(keep):
@@ -164,7 +164,9 @@ def score(scorer, df, keep=(), strict=True):
     output = {Task.CLUSTERING: "cluster", Task.REDUCTION: "components"}.get(scorer.task, "prediction")
     valid = F.size("errors") == 0
     if strict:
-        stop = F.raise_error(F.concat(F.element_at("errors", 1)["code"], F.lit(": "), F.element_at("errors", 1)["field"]))
+        first = F.element_at("errors", 1)
+        record = F.concat(F.lit("record "), F.coalesce(col(keep[0]).cast("string"), F.lit("?")), F.lit(": ")) if keep else F.lit("")
+        stop = F.raise_error(F.concat(record, first["code"], F.lit(": "), first["field"]))
         value = F.when(valid, F.col(output)).otherwise(stop.cast(result.schema[output].dataType))
         return result.select(*[col(k) for k in keep], value.alias(output), "warnings")
     return result.select(*[col(k) for k in keep], F.when(valid, F.col(output)).alias(output), "warnings", "errors")

@@ -37,16 +37,19 @@ PRICE_INPUTS = {"quantity": ColumnType.NUMBER, "discount": ColumnType.NUMBER, "s
 def fit_side(rows, types, model_id, option=None):
     """A scorer fitted on the training rows of a split table with `__label`."""
     task = models.model_spec(model_id).task
-    train = rows.where(F.col("split") == split.TRAIN)
+    # Medians, scales, categories and the fit itself all read the training rows.
+    train = spread(rows.where(F.col("split") == split.TRAIN)).persist()
     prep = preprocess.fit_preprocessor(train, types, models.model_spec(model_id).scale)
     kept = ["features", *([F.col("__label").alias("label")] if task.supervised else [])]
-    encoded = spread(preprocess.encode(train, prep).select(*kept)).persist()
+    encoded = preprocess.encode(train, prep).select(*kept).persist()
     labels = ()
     if task == Task.CLASSIFICATION:
         labels = tuple(sorted(r[0] for r in encoded.select("label").distinct().collect()))
     model = models.fit_model(model_id, encoded, option, labels)
     encoded.unpersist()
-    return score.Scorer(score.fitted_fields(train, types), prep, model)
+    fields = score.fitted_fields(train, types)
+    train.unpersist()
+    return score.Scorer(fields, prep, model)
 
 
 def _test_predictions(rows, scorer):
