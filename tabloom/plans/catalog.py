@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 QUERIES, SQL = {}, {}
 
 
-def query(sql=None):
-    """Register a (spark, directory) -> DataFrame function under its own name."""
+def query(sql=None, name=None):
+    """Register a (spark, directory) -> DataFrame function, under its own name by default."""
 
     def register(function):
-        QUERIES[function.__name__] = function
+        key = name or function.__name__
+        QUERIES[key] = function
         if sql is not None:
-            SQL[function.__name__] = sql
+            SQL[key] = sql
         return function
 
     return register

@@ -88,7 +88,7 @@ def _failures_sql():
       array_to_string(list_slice(list_sort(list(row_id)), 1, 5), ',') AS first_rows FROM failing GROUP BY name"""
 
 
-@query(_failures_sql())
+@query(_failures_sql(), name="override_failures")
 def override_failure_rows(spark, directory):
     found = override_failures(text_orders(spark, directory), "row_id", OVERRIDES)
     return found.select("name", "failures", F.array_join(F.col("first_rows").cast("array<string>"), ",").alias("first_rows"))
@@ -104,7 +104,7 @@ def preview_50(spark, directory):
 SELECT n AS rows, name, longest FROM (
   SELECT count(*) AS n, coalesce(max(length(text)), 0) AS text, coalesce(max(length(lang)), 0) AS lang,
     coalesce(max(length(source)), 0) AS source FROM documents)
-UNPIVOT (longest FOR name IN (text, lang, source))""")
+UNPIVOT (longest FOR name IN (text, lang, source))""", name="cell_limits")
 def cell_limit_audit(spark, directory):
     return cell_limits(table(spark, directory, "documents"), ["text", "lang", "source"])
 
@@ -117,6 +117,6 @@ _HEAD = "[" + ",".join(f'"{c}"' for c in TEXT_ORDERS_COLUMNS) + "]"
 
 @query(f"""WITH {TEXT_ORDERS}, sums AS (
   SELECT count(*) AS row_count, sum(('0x' || substr(md5({_CELLS}), 1, 15))::bigint)::hugeint AS digest_sum FROM t)
-SELECT row_count, sha256('{_HEAD}' || '|' || row_count::varchar || '|' || digest_sum::varchar) AS fingerprint FROM sums""")
+SELECT row_count, sha256('{_HEAD}' || '|' || row_count::varchar || '|' || digest_sum::varchar) AS fingerprint FROM sums""", name="fingerprint")
 def content_fingerprint(spark, directory):
     return fingerprint(text_orders(spark, directory), list(TEXT_ORDERS_COLUMNS))

@@ -76,7 +76,7 @@ def interpret_date(spark, directory):
 
 
 @query(f"""WITH {TEXT_ORDERS} SELECT row_id, try_cast(nullif(price, '') AS double) AS price, lower(urgent) = 'true' AS urgent,
-  strftime(try_cast(day AS date), '%Y%m%d')::int AS day, priority, try_cast(trim(level) AS double) AS level FROM t""")
+  strftime(try_cast(day AS date), '%Y%m%d')::int AS day, priority, try_cast(trim(level) AS double) AS level FROM t""", name="typed_view")
 def typed_columns(spark, directory):
     types = {"price": ColumnType.NUMBER, "urgent": ColumnType.BOOLEAN, "day": ColumnType.DATE,
              "priority": ColumnType.CATEGORY, "level": ColumnType.NUMBER}
@@ -90,7 +90,7 @@ def raw_feature_records(spark, directory):
 
 
 @query(f"""WITH {TEXT_ORDERS} SELECT row_id, try_cast(trim(level) AS double)::bigint::varchar AS level,
-  lower(urgent) AS urgent, status FROM t""")
+  lower(urgent) AS urgent, status FROM t""", name="target_labels")
 def target_label_text(spark, directory):
     rows = text_orders(spark, directory)
     return rows.select(
