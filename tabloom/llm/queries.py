@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from tabloom.llm import packing, simhash, token_counts
+from tabloom.llm import packing, quality_rules, secret_scan, simhash, token_counts, url_filter
 
 QUERIES, SQL = {}, {}
 
@@ -26,6 +26,21 @@ def op2_simhash_groups(spark, directory):
     return simhash.near_groups(table(spark, directory, "documents"))
 
 
+@query
+def op4_url_filter(spark, directory):
+    return url_filter.judge(table(spark, directory, "pages"))
+
+
 @query
 def op5_best_fit_packing(spark, directory):
     return packing.pack(table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_secret_scan(spark, directory):
+    return secret_scan.secret_report(table(spark, directory, "documents"))
+
+
+@query
+def op9_quality_rules(spark, directory):
+    return quality_rules.judge(table(spark, directory, "documents"), table(spark, directory, "labels"))
