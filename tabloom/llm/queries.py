@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from tabloom.llm import packing, quality_rules, secret_scan, simhash, token_counts, url_filter
+from tabloom.llm import language_id, mixing, packing, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter
 
 QUERIES, SQL = {}, {}
 
@@ -44,3 +44,21 @@ def op6_secret_scan(spark, directory):
 @query
 def op9_quality_rules(spark, directory):
     return quality_rules.judge(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query
+def op7_language_id(spark, directory):
+    return language_id.identify(table(spark, directory, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_mixing(spark, directory):
+    return mixing.mixed(table(spark, directory, "documents"))
+
+
+SQL["op8_mixing"] = mixing.mixed_sql()
+
+
+@query
+def op10_spot_signatures(spark, directory):
+    return spot_signatures.edited_report(table(spark, directory, "documents"))
