@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from tabloom.llm import language_id, mixing, packing, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter
+from tabloom.llm import language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter
 
 QUERIES, SQL = {}, {}
 
@@ -26,6 +26,11 @@ def op2_simhash_groups(spark, directory):
     return simhash.near_groups(table(spark, directory, "documents"))
 
 
+@query
+def op3_lm_scoring(spark, directory):
+    return lm_scoring.score(table(spark, directory, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op4_url_filter(spark, directory):
     return url_filter.judge(table(spark, directory, "pages"))
