@@ -98,7 +98,7 @@ def sample(documents, broadcast_cells=BROADCAST_CELLS):
     few = shares.count() <= broadcast_cells
     tagged = documents.withColumns({names[d]: cell[d] for d in DIMENSIONS})
     joined = tagged.join(F.broadcast(shares) if few else shares, list(names.values()))
-    return joined.filter(drawn(F.col("doc_id")) < F.col("__probability")).select(documents.columns)
+    return joined.filter(drawn(F.col("doc_id")) < F.col("__probability")).drop(*names.values(), "__probability")
 
 
 def mixed_sql():

@@ -22,13 +22,13 @@ WORD = r"[^ \t\n\x0B\f\r]"
 SYMBOL = r"#*$%&|<>"
 #: Statistics with thresholds, as ratios that do not depend on a text's length.
 FEATURES = {
-    "chars_per_word": "word_chars / greatest(n_words, 1)",
-    "symbols_per_word": "n_symbols / greatest(n_words, 1)",
-    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "capital_share": "n_capitals / greatest(word_chars, 1)",
-    "marks_per_word": "n_marks / greatest(n_words, 1)",
-    "words_per_line": "n_words / greatest(n_lines, 1)",
+    "chars_per_word": ("word_chars", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "capital_share": ("n_capitals", "word_chars"),
+    "marks_per_word": ("n_marks", "n_words"),
+    "words_per_line": ("n_words", "n_lines"),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 #: Thresholds per feature, rules, conditions per rule, and what a rule must reach.
@@ -40,61 +40,78 @@ def only(text, characters):
     return F.length(F.regexp_replace(text, f"[^{characters}]+", "")).cast("long")
 
 
-def with_statistics(documents):
-    """The rows with the counts of their text under reserved names (__n_words and so on).
+def let(value, body):
+    """body(value), with the value computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def window_hashes(words):
+    hashed = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    )
+    return F.when(F.size(words) >= 3, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def repeated_windows(hashes):
+    """Places, in order, of the windows that occur more than once; only texts with a repeat sort theirs."""
+
+    def same(pairs, p, k):
+        near = (F.get(pairs, k - 1)["h"] == p["h"]) | (F.get(pairs, k + 1)["h"] == p["h"])
+        return F.coalesce(near, F.get(pairs, k + 1)["h"] == p["h"], F.get(pairs, k - 1)["h"] == p["h"], F.lit(False))
+
+    def places(pairs):
+        return F.sort_array(F.transform(F.filter(pairs, lambda p, k: same(pairs, p, k)), lambda p: p["i"]))
+
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    return F.when(repeats, let(pairs, places)).otherwise(F.array().cast("array<int>"))
+
+
+def covered(places):
+    """Words in windows of three that start at these places."""
+    return F.aggregate(
+        places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
+        lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"],
+    )
+
+
+def counts_of(text):
+    """All counts of a text as one struct.
 
     A word is in a repeated window if one of the windows of three words over it occurs at least
-    twice. Windows are compared by hash, and only texts with a repeat sort theirs.
+    twice. Windows are compared by hash.
     """
-    t = F.coalesce(F.col("text"), F.lit(""))
-    df = documents.withColumn("__words", F.filter(F.split(t, f"{BLANK}+"), lambda w: w != ""))
-    df = df.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
-    df = df.withColumn("__n_words", F.size("__words").cast("long"))
-    df = df.withColumn("__hashes", F.expr(
-        "CASE WHEN __n_words >= 3 THEN transform(sequence(0, size(__words) - 3), "
-        "i -> xxhash64(__words[i], __words[i + 1], __words[i + 2])) ELSE array() END"
-    ))
-    df = df.withColumn("__pairs", F.expr(
-        "CASE WHEN size(array_distinct(__hashes)) < size(__hashes) "
-        "THEN sort_array(transform(__hashes, (h, i) -> struct(h AS h, i AS i))) ELSE array() END"
+    t = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(t, f"{BLANK}+"), lambda w: w != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+    parts = F.struct(words.alias("w"), lines.alias("l"))
+    return let(parts, lambda p: F.struct(
+        F.size(p["w"]).cast("long").alias("n_words"),
+        (F.length(t) - F.length(F.regexp_replace(t, f"{WORD}+", ""))).cast("long").alias("word_chars"),
+        only(t, SYMBOL).alias("n_symbols"),
+        (F.size(p["l"]) - F.size(F.array_distinct(p["l"]))).cast("long").alias("n_dup_lines"),
+        let(window_hashes(p["w"]), lambda h: covered(repeated_windows(h))).alias("n_repeat_words"),
+        F.size(p["l"]).cast("long").alias("n_lines"),
+        only(t, "A-Z").alias("n_capitals"),
+        only(t, "!?").alias("n_marks"),
     ))
-    df = df.withColumn("__repeats", F.expr(
-        "sort_array(transform(filter(__pairs, (p, k) -> (k > 0 AND __pairs[greatest(k - 1, 0)].h = p.h) "
-        "OR (k + 1 < size(__pairs) AND __pairs[least(k + 1, size(__pairs) - 1)].h = p.h)), p -> p.i))"
-    ))
-    repeat_words = F.expr(
-        "aggregate(__repeats, struct(0L AS n, -3 AS last), "
-        "(a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)"
-    )
-    df = df.withColumns({
-        "__word_chars": F.length(t).cast("long") - F.length(F.regexp_replace(t, f"{WORD}+", "")),
-        "__n_symbols": only(t, SYMBOL),
-        "__n_lines": F.size("__lines").cast("long"),
-        "__n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "__n_repeat_words": F.when(F.size("__repeats") > 0, repeat_words).otherwise(F.lit(0)).cast("long"),
-        "__n_capitals": only(t, "A-Z"),
-        "__n_marks": only(t, "!?"),
-    })
-    return df.drop("__words", "__lines", "__hashes", "__pairs", "__repeats")
 
 
-def base_failed(prefix=""):
-    """Too few words, or over half of them in repeated windows."""
-    n, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    return (n < 50) | (100 * repeats > 50 * n)
+def base_failed(c=F.col):
+    """Too few words, or over half of them in repeated windows; `c` gives a count by name."""
+    return (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
 
 
 def statistics(documents):
     """doc_id and the counts of every text."""
-    counts = [F.col(f"__{c}").alias(c) for c in COUNTS]
-    return with_statistics(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", *counts)
+    counted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), counts_of(F.col("text")).alias("counts"))
+    return counted.select("doc_id", *[F.col(f"counts.{c}") for c in COUNTS])
 
 
-def feature(name, prefix=""):
-    text = FEATURES[name]
-    for c in COUNTS:
-        text = text.replace(c, f"{prefix}{c}")
-    return F.expr(text)
+def feature(name, c=F.col):
+    """A statistic from the counts; a text without words or lines has zero."""
+    over, under = FEATURES[name]
+    return c(over) / F.greatest(c(under), F.lit(1))
 
 
 def labelled_bins(stats, labels, bins):
@@ -199,11 +216,11 @@ def learn(stats, labels, bins=BINS, max_rules=MAX_RULES, max_conditions=MAX_COND
     return rules
 
 
-def verdict(rules, prefix=""):
+def verdict(rules, c=F.col):
     """True for a kept row: base rule first, then the learned rules in their order."""
-    kept = F.when(base_failed(prefix), False)
+    kept = F.when(base_failed(c), False)
     for rule in rules:
-        kept = kept.when(holds(rule, lambda f, x: (feature(f, prefix), F.lit(x))), False)
+        kept = kept.when(holds(rule, lambda f, x: (feature(f, c), F.lit(x))), False)
     return kept.otherwise(True)
 
 
@@ -220,4 +237,4 @@ def judge(documents, labels):
 def good_documents(documents, labels):
     """The documents the list keeps, columns unchanged."""
     rules = learn(stored(statistics(documents), "statistics"), labels)
-    return with_statistics(documents).filter(verdict(rules, "__")).select(documents.columns)
+    return documents.filter(let(counts_of(F.col("text")), lambda counts: verdict(rules, lambda name: counts[name])))

@@ -143,7 +143,6 @@ def redact(documents, ledger=None, broadcast_rows=BROADCAST_ROWS):
     few = hits.limit(broadcast_rows + 1).count() <= broadcast_rows
     whole = documents.withColumn("__blob", F.sha2("text", 256))
     joined = whole.join(F.broadcast(hits) if few else hits, "__blob", "left")
-    names = documents.columns
 
     @F.pandas_udf("string")
     def mask(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -151,7 +150,7 @@ def redact(documents, ledger=None, broadcast_rows=BROADCAST_ROWS):
 
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask("text", F.coalesce("__spans", F.lit(""))))
     done = joined.withColumn("text", text)
-    if "n_chars" in names:
+    if "n_chars" in documents.columns:
         counted = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
         done = done.withColumn("n_chars", counted)
-    return done.select(names)
+    return done.drop("__blob", "__spans")
