@@ -10,15 +10,20 @@ Null and empty texts are the end id alone. Repeated rows are packed as often as
 """
 
 import math
+import os
+import re
 import zlib
+from array import array
 from functools import lru_cache
+from itertools import filterfalse
 
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import stored
 
-#: Distinct words a worker remembers, and the longest it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+#: Distinct parts a worker remembers, the longest it remembers, and characters encoded together.
+REMEMBERED, LONGEST, RUN_CHARACTERS = 800_000, 48, 2_000_000
+STOPS = re.compile(rb"([A-Za-z])([.,])(?= )")
 #: Pieces packed together by one task.
 SHARD_PIECES = 20_000
 
@@ -28,33 +33,40 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds:
     """Ids of whole texts, four little-endian bytes each.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of
-    its space-separated parts in a row; each distinct part is encoded once.
+    The tokenizer lowers letters, drops white space, never joins across it, and keeps letters apart
+    from punctuation. So a text's ids are those of its parts in a row, where A-Z may be lowered
+    first and a comma or period between a letter and a blank stands alone. Each distinct
+    part is encoded once. Texts that may hold special strings are cut at blanks only.
     """
 
     def __init__(self, path):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel unit
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def encode(self, parts):
-        import numpy as np
-
-        for part in parts:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            yield part, np.array(ids, "<u4").tobytes()
-
-    def ids(self, text):
-        parts = text.replace("\n", " ").split(" ") if text else []
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED:
+    def parts(self, text):
+        line = (text or "").encode().replace(b"\n", b" ")
+        if b"<|" not in line:
+            line = STOPS.sub(rb"\1 \2", line.lower())
+        return line.split(b" ")
+
+    def ids(self, texts):
+        """The ids of each of some texts."""
+        every = [self.parts(text) for text in texts]
+        new = set()
+        for parts in every:
+            new.update(filterfalse(self.known.__contains__, parts))
+        if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
-        new = dict(self.encode({p for p in parts if p not in self.known}))
-        found = b"".join([self.known[p] if p in self.known else new[p] for p in parts])
-        self.known.update((p, b) for p, b in new.items() if len(p) <= LONGEST)
+            new = set().union(*every)
+        new = list(new)
+        encoded = self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)
+        self.known.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, encoded, strict=True))
+        found = [b"".join(map(self.known.__getitem__, parts)) for parts in every]
+        for part in new:
+            if len(part) > LONGEST:
+                del self.known[part]
         return found
 
 
@@ -108,6 +120,19 @@ def best_fit(lengths, capacity):
     return placed
 
 
+def runs(batch, characters):
+    """(doc_id, text) of a batch in lists of about so many characters."""
+    held, size = [], 0
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        held.append((doc_id, text))
+        size += len(text or "")
+        if size >= characters:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def tokenised_pieces(documents, vocabulary, capacity=4096, end_id=1):
     """One row per piece, without its ids: doc_id, piece, start, length, ids_crc32."""
 
@@ -119,11 +144,12 @@ def tokenised_pieces(documents, vocabulary, capacity=4096, end_id=1):
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = tokens.ids(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for docs in runs(batch, RUN_CHARACTERS):
+                for (doc_id, _), ids in zip(docs, tokens.ids([text for _, text in docs]), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
