@@ -1,17 +1,10 @@
 """Holdout metrics, baselines and diagnostics as aggregates over scored rows."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tabloom.contracts import Metric
 from tabloom.errors import TableError
 from tabloom.operators.eligibility import MAX_CLASSES
-from tabloom.operators.rows import row_hash
-from tabloom.operators.selection import smallest_rows
-
-SILHOUETTE_ROWS = 2_000
 
 
 def evaluation_error():
@@ -159,68 +152,66 @@ def mean_baseline(train, test, label="label"):
 
 # Clustering.
 
-def silhouette_sample(df, row_id, limit=SILHOUETTE_ROWS):
-    """All rows, or the `limit` rows first in seeded hash order when there are more."""
-    if df.limit(limit + 1).count() <= limit:
-        return df
-    return smallest_rows(df, row_hash(F.col(row_id)), limit)
-
-
-def _widths(batches, points):
-    """Silhouette widths of batches of rows against the whole bounded sample."""
-    ids, groups, x = points.value
-    names, member = np.unique(groups, return_inverse=True)
-    one_hot = np.eye(len(names))[member]
-    size = one_hot.sum(axis=0)
-    place = {row: n for n, row in enumerate(ids)}
-    for batch in batches:
-        own = np.array([place[r] for r in batch["row_id"]], dtype=int)
-        far = np.stack([np.sqrt(((x - x[n]) ** 2).sum(axis=1)) for n in own]) if len(own) else np.empty((0, len(x)))
-        totals = far @ one_hot
-        mine = member[own]
-        rows = np.arange(len(own))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inner = totals[rows, mine] / (size[mine] - 1)
-            outer = totals / size
-            outer[rows, mine] = np.inf
-            outer = outer.min(axis=1)
-            width = (outer - inner) / np.maximum(inner, outer)
-        # A row alone in its cluster, or one without any distance, scores zero.
-        width = np.where((size[mine] == 1) | ~np.isfinite(width), 0.0, width)
-        yield pd.DataFrame({"row_id": batch["row_id"], "width": width})
-
-
-def silhouette(df, row_id, cluster="prediction", features="features"):
-    """Mean silhouette width, null with a reason when it is not defined.
-
-    `features` is an array of doubles. The sample holds at most 2,000 rows, so it is the
-    one thing here that travels whole: every task measures its share of the sampled rows
-    against it, and no pairs of rows are emitted.
+def equal_width(df, features="features"):
+    """Length shared by all arrays of a column; null arrays or different lengths are an error.
+
+    Returns None for an empty table.
     """
-    sample = silhouette_sample(
-        df.select(F.col(row_id).alias("row_id"), F.col(cluster).alias("c"), F.col(features).alias("x")), "row_id"
-    )
-    spark = df.sparkSession
-    rows = sample.collect()
-    groups = np.array([r["c"] for r in rows])
-    known = len(set(groups.tolist()))
-    if known < 2 or known == len(rows):
+    size = F.coalesce(F.when(F.col(features).isNotNull(), F.size(features)), F.lit(-1))
+    low, high = df.agg(F.min(size), F.max(size)).first()
+    if low is not None and (low != high or low < 0):
+        raise TableError("EVALUATION", "Some vectors are missing or differ in length.", "Give vectors of one length.")
+    return low
+
+
+def silhouette(df, cluster="prediction", features="features", max_clusters=1_000):
+    """Mean silhouette width on squared Euclidean distances, over all rows.
+
+    The mean squared distance of a row to a cluster is its squared distance to the centre
+    plus the cluster's own variance, so no pairs of rows are needed: one aggregation per
+    cluster and dimension, then one projection. A row alone in its cluster, or without
+    any distance, scores zero. The result is null with a reason where it is not defined.
+    Centres travel whole, at most `max_clusters` of them; more is an error.
+    """
+    rows = df.select(F.col(cluster).alias("c"), F.col(features).alias("x"))
+    equal_width(rows, "x")
+    found = rows.groupBy("c").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first()
+    clusters, total = found[0], found[1] or 0
+    if clusters < 2 or clusters == total:
         reason = "Silhouette needs two groups or more, and fewer groups than rows."
-        return spark.createDataFrame(
-            [(None, len(rows), reason)], "silhouette double, silhouette_rows bigint, reason string"
+        return df.sparkSession.createDataFrame(
+            [(None, total, reason)], "silhouette double, silhouette_rows bigint, reason string"
         )
-    points = spark.sparkContext.broadcast(
-        ([r["row_id"] for r in rows], groups, np.array([r["x"] for r in rows], dtype=float))
+    if clusters > max_clusters:
+        raise TableError("EVALUATION", f"More than {max_clusters} clusters.", "Raise the limit or use fewer clusters.")
+    entries = rows.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(
+        F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("variance")
+    )
+    centres = entries.groupBy("c").agg(
+        F.max("n").alias("n"),
+        F.array_sort(F.collect_list(F.struct("i", "mean"))).alias("means"),
+        F.sum("variance").alias("variance"),
     )
-    tasks = spark.sparkContext.defaultParallelism
-    widths = sample.select("row_id").repartition(tasks, "row_id").mapInPandas(
-        lambda batches: _widths(batches, points),
-        StructType([sample.schema["row_id"], StructField("width", DoubleType())]),
+    known = centres.agg(F.collect_list(F.struct("c", "n", F.col("means.mean").alias("means"), "variance")).alias("known"))
+
+    def squares(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+
+    far = F.transform("known", lambda k: F.struct(
+        k["c"].eqNullSafe(F.col("c")).alias("own"), k["n"].alias("n"), (squares(F.col("x"), k["means"]) + k["variance"]).alias("d")
+    ))
+    size = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    placed = rows.crossJoin(F.broadcast(known)).select(far.alias("far"), size.alias("size"))  # joins one row
+    own = F.filter("far", lambda k: k["own"])[0]
+    sides = placed.select(
+        "size", own["n"].alias("n"), (own["d"] * own["n"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"),
+        F.array_min(F.transform(F.filter("far", lambda k: ~k["own"]), lambda k: k["d"])).alias("b"),
     )
-    return widths.agg(
-        F.avg("width").alias("silhouette"),
-        F.count("*").alias("silhouette_rows"),
-        F.lit(None).cast("string").alias("reason"),
+    most = F.greatest("a", "b")
+    # Rounding leaves equal points a trace apart.
+    width = F.when((F.col("n") == 1) | (most <= 1e-24 * F.col("size")), 0.0).otherwise((F.col("b") - F.col("a")) / most)
+    return sides.agg(
+        F.avg(width).alias("silhouette"), F.count("*").alias("silhouette_rows"), F.lit(None).cast("string").alias("reason")
     )
 
 

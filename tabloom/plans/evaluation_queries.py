@@ -115,17 +115,17 @@ def mean_baseline(spark, directory):
                              "r2": plain_zero(F.round("r2", 6))})
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding::double[] AS x FROM embeddings
-  QUALIFY row_number() OVER (ORDER BY md5('42:' || vec_id)) <= 2000),
-d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) AS total,
-  count(*) FILTER (a.vec_id <> b.vec_id) AS n FROM e a, e b GROUP BY 1, 2, 3),
-w AS (SELECT vec_id, max(total / n) FILTER (own = other) AS a, min(total / n) FILTER (own <> other) AS b,
-  max(n) FILTER (own = other) AS mates FROM d GROUP BY 1)
-SELECT round(avg(CASE WHEN mates = 0 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
+@query("""WITH p AS (SELECT vec_id, label AS own, unnest(embedding)::double AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT own AS other, i, count(*) AS n, avg(v) AS mean, var_pop(v) AS variance FROM p GROUP BY 1, 2),
+k AS (SELECT other, max(n) AS n, sum(variance) AS variance FROM m GROUP BY 1),
+d AS (SELECT vec_id, own, other, sum((v - mean) ** 2) AS d FROM p JOIN m USING (i) GROUP BY 1, 2, 3),
+w AS (SELECT vec_id, max(n) FILTER (own = other) AS n, max((d + variance) * n / greatest(n - 1, 1)) FILTER (own = other) AS a,
+  min(d + variance) FILTER (own <> other) AS b FROM d JOIN k USING (other) GROUP BY 1)
+SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
   count(*) AS silhouette_rows, NULL::varchar AS reason FROM w""")
 def silhouette(spark, directory):
-    rows = table(spark, directory, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
-    return evaluate.silhouette(rows, "vec_id", "label").withColumn("silhouette", F.round("silhouette", 6))
+    rows = table(spark, directory, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("features"))
+    return evaluate.silhouette(rows, "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1")

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -46,21 +47,50 @@ def test_regression(spark):
     assert row["r2"] is None and row["r2_reason"] and row["mae"] == 0
 
 
-def test_silhouette(spark):
-    rows = [(i, float(x), i // 2) for i, x in enumerate((0, 1, 10, 11))]
-    df = spark.createDataFrame([(i, [x], c) for i, x, c in rows], "row_id int, features array<double>, prediction int")
-    assert ev.silhouette(df, "row_id").first()["silhouette"] == pytest.approx(((10.5 - 1) / 10.5 + (9.5 - 1) / 9.5) / 2)
-    one = df.selectExpr("row_id", "features", "0 AS prediction")
-    each = df.selectExpr("row_id", "features", "row_id AS prediction")
-    for flat in (one, each):
-        row = ev.silhouette(flat, "row_id").first()
+def squared_silhouette(rows):
+    """All pairs, as the definition says."""
+    def mean(x, others):
+        return sum(sum((p - q) ** 2 for p, q in zip(x, y)) for y in others) / len(others)
+
+    widths = []
+    for i, (x, c) in enumerate(rows):
+        mates = [y for j, (y, d) in enumerate(rows) if d == c and j != i]
+        if not mates:
+            widths.append(0.0)
+            continue
+        a = mean(x, mates)
+        b = min(mean(x, [y for y, d in rows if d == k]) for k in {d for _, d in rows} - {c})
+        widths.append(0.0 if max(a, b) == 0 else (b - a) / max(a, b))
+    return sum(widths) / len(widths)
+
+
+def test_silhouette_is_that_of_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [([rng.gauss(3 * (i % 3), 1.5), rng.gauss(100, 2)], i % 3) for i in range(300)] + [([50.0, 1.0], 7)]
+    df = spark.createDataFrame(rows, "features array<double>, prediction int").repartition(5)
+    row = ev.silhouette(df).first()
+    assert row["silhouette"] == pytest.approx(squared_silhouette(rows), abs=1e-9) and row["silhouette_rows"] == 301
+
+
+def test_silhouette_of_many_rows_has_no_sample(spark):
+    df = spark.range(25_000).selectExpr("array(id % 2 * 10.0D + id / 1e6D) AS features", "cast(id % 2 AS int) AS prediction")
+    row = ev.silhouette(df).first()
+    assert row["silhouette_rows"] == 25_000 and row["silhouette"] > 0.99
+
+
+def test_silhouette_without_an_answer(spark):
+    df = spark.createDataFrame([([0.1], 1), ([0.1], 1), ([0.1], 2), ([0.1], 2)], "features array<double>, prediction int")
+    assert ev.silhouette(df).first()["silhouette"] == 0.0
+    one = df.selectExpr("features", "0 AS prediction")
+    each = df.selectExpr("features", "monotonically_increasing_id() AS prediction")
+    for flat in (one, each, df.limit(0)):
+        row = ev.silhouette(flat).first()
         assert row["silhouette"] is None and row["reason"]
-
-
-def test_silhouette_of_a_sample(spark):
-    df = spark.range(2500).selectExpr("id AS row_id", "array(id % 2 * 10.0D + id / 1e6D) AS features", "cast(id % 2 AS int) AS prediction")
-    row = ev.silhouette(df, "row_id").first()
-    assert row["silhouette_rows"] == 2000 and row["silhouette"] > 0.99
+    with pytest.raises(TableError):
+        ev.silhouette(df, max_clusters=1)
+    for ragged in ("if(prediction = 1, array(1.0D, 2.0D), features)", "if(prediction = 1, null, features)"):
+        with pytest.raises(TableError):
+            ev.silhouette(df.selectExpr(f"{ragged} AS features", "prediction"))
 
 
 def test_ranking(spark):
