@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabloom.contracts import ColumnType, Task
 from tabloom.operators import evaluate, models, preprocess, score, split
-from tabloom.operators.rows import spread
+from tabloom.operators.rows import spread, with_file_order
 from tabloom.plans.catalog import query, table
 from tabloom.plans.split_queries import SHUFFLED
 
@@ -13,8 +13,8 @@ from tabloom.plans.split_queries import SHUFFLED
 
 
 def _lineitem(spark, directory):
-    return table(spark, directory, "lineitem").select(
-        F.col("_metadata.row_index").alias("row_id"),
+    return with_file_order(table(spark, directory, "lineitem")).select(
+        "row_id",
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"),
@@ -117,9 +117,9 @@ def linear_closed_form(spark, directory):
 
 
 def _vectors(spark, directory):
-    """All entries of the embeddings as columns of their own; the first row tells how many."""
+    """All entries of the embeddings as columns of their own; vectors of different lengths are an error."""
     rows = table(spark, directory, "embeddings")
-    width = rows.select(F.size("embedding")).first()[0]
+    width = evaluate.equal_width(rows, "embedding") or 0
     return rows.select(
         "vec_id", F.lit("train").alias("split"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)]
     ), {f"e{i}": ColumnType.NUMBER for i in range(width)}
@@ -150,7 +150,7 @@ def silhouette_of_fit(spark, directory):
     scorer = fit_side(rows, types, "clustering.kmeans", 3)
     found = scorer.model.apply(preprocess.encode(rows, scorer.preprocessor))
     return evaluate.silhouette(
-        found.select("vec_id", "cluster", vector_to_array("features").alias("features")), "vec_id", "cluster"
+        found.select("cluster", vector_to_array("features").alias("features")), "cluster"
     )
 
 

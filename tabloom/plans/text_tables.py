@@ -6,6 +6,7 @@ No row is left out.
 
 from pyspark.sql import functions as F
 
+from tabloom.operators.rows import with_file_order
 from tabloom.plans.catalog import table
 
 
@@ -58,8 +59,8 @@ def text_lineitem(spark, directory):
     """All line items as text. They have no key, so their place in the file numbers them."""
     decimals = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     whole = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    return table(spark, directory, "lineitem").select(
-        F.col("_metadata.row_index").alias("row_id"),
+    return with_file_order(table(spark, directory, "lineitem")).select(
+        "row_id",
         *[F.col(c).cast("string").alias(c) for c in whole],
         *[F.format_string("%.2f", c).alias(c) for c in decimals],
         "l_returnflag",

@@ -32,6 +32,44 @@ def lines(spark, path):
     )
 
 
+PLACE = "__place"
+
+
+def with_place(text):
+    """Lines with a number that grows along each file split, for a table of text just read."""
+    return text.withColumn(PLACE, F.monotonically_increasing_id())
+
+
+def content(value):
+    """A line without a byte order mark or carriage return; empty lines are no records."""
+    return F.rtrim(F.regexp_replace(value, f"^{BOM}", ""), F.lit("\r"))
+
+
+def split_summary(text, first):
+    """What is known of every file split, in file order, from one pass with fixed-width buffers.
+
+    One row per split: its lines, those not empty, its smallest place, the places of its
+    first faulty line, of its file's first non-empty line (`head`) and of the first line
+    equal to `first`, and whether quotes, or odd numbers of them in a line, occur.
+    """
+    place, start = F.col(PLACE), F.col("_metadata.file_block_start") == 0
+    filled = content("value") != ""
+    quotes = F.char_length("value") - F.char_length(F.translate("value", '"', ""))
+    return text.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).agg(
+        F.count("*").alias("lines"), F.count_if(filled).alias("filled"), F.min(place).alias("place"),
+        F.min(F.when(~F.is_valid_utf8("value"), place)).alias("bad"),
+        F.min(F.when(filled & start, place)).alias("head"),
+        F.min(F.when((content("value") == first) & start, place)).alias("same"),
+        F.bool_or(quotes > 0).alias("quotes"), F.bool_or(quotes % 2 == 1).alias("odd"),
+    ).orderBy("file", "block").collect()
+
+
+def line_number(splits, file, block, place):
+    """Number, from 1, of a line in its file."""
+    before = sum(s["lines"] for s in splits if s["file"] == file and s["block"] < block)
+    return before + place - next(s["place"] for s in splits if (s["file"], s["block"]) == (file, block)) + 1
+
+
 def encoding_audit(spark, path):
     """Lines that are not valid UTF-8."""
     return spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("bad_lines"), F.count("*").alias("lines"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tabloom.errors import TableError
-from tabloom.functions.names import col
 from tabloom.sources import audits
 
 CORRUPT = "__malformed"
@@ -14,10 +13,17 @@ CORRUPT = "__malformed"
 
 def header(spark, path, delimiter=","):
     """Column names from the first non-empty line."""
-    first = spark.read.text(path).where(F.rtrim(F.regexp_replace("value", f"^{audits.BOM}", ""), F.lit("\r")) != "").first()
+    return _names(_first_line(spark, path), delimiter)
+
+
+def _first_line(spark, path):
+    first = spark.read.text(path).select(audits.content("value").alias("value")).where("value != ''").first()
     if first is None:
         raise TableError("NO_DATA", "The file is empty.", "Choose a file with data.")
-    line = first[0].removeprefix(audits.BOM)
+    return first[0]
+
+
+def _names(line, delimiter):
     if not line.strip(" \t") and delimiter not in line:
         raise TableError("HEADERS", "Every column needs a name.", "Fix the header.", row=1)
     names = next(csv.reader([line], delimiter=delimiter))
@@ -28,54 +34,90 @@ def header(spark, path, delimiter=","):
 def read_delimited(spark, path, delimiter=",", multiline=None, malformed="fail", audit=True):
     """All cells as text under their exact headers.
 
-    `multiline=None` looks for quoted line breaks first. Without any, large files are
-    split over tasks; Spark reads a file with such cells in one task per file, so large
-    tables of that sort should come as several files. `malformed` is `fail` or
-    `quarantine`; the latter keeps records of another width and shows their text in a
-    column of its own.
+    Every file starts with the same header. Only empty lines are no records; one of blanks
+    or delimiters is. Lines are parsed on their own, so large files are split over
+    tasks, unless a quoted cell holds a line break (`multiline=None` looks for one): Spark
+    reads a file with such cells in one task, so large tables of that sort should come as
+    several files. `malformed` is `fail` or `quarantine`; the latter keeps records of
+    another width and shows their text in a column of its own.
+
+    One pass over the lines checks headers and encoding and finds the places of the headers; a
+    second, over lines with quotes, runs only if there are any. `audit` adds a parse for widths.
+    Errors name the line where it is known, counted in its file.
     """
     if malformed not in ("fail", "quarantine"):
         raise ValueError("malformed is fail or quarantine")
-    names = header(spark, path, delimiter)
+    first = _first_line(spark, path)
+    names = _names(first, delimiter)
+    text = audits.with_place(spark.read.text(path))
+    splits = audits.split_summary(text, first)
+    if audit:
+        broken = next((s for s in splits if s["bad"] is not None), None)
+        if broken:
+            raise TableError("ENCODING", "The text is not UTF-8.", "Save it as UTF-8.",
+                             row=audits.line_number(splits, broken["file"], broken["block"], broken["bad"]))
+    _require_same_headers(spark, splits, names, delimiter)
     if audit:
-        if audits.encoding_audit(spark, path).first()["bad_lines"]:
-            raise TableError("ENCODING", "The text is not UTF-8.", "Save it as UTF-8.")
-        line, spans = audits.quoting_audit(spark, path, delimiter)
+        line, spans = audits.quoting_audit(spark, path, delimiter) if any(s["quotes"] for s in splits) else (None, False)
         if line is not None:
             raise TableError("CSV_QUOTES", "Quotes are malformed.", "Fix the quoting.", row=line)
         multiline = spans if multiline is None else multiline
     elif multiline is None:
-        multiline = audits.spanning_lines(spark, path, delimiter)
-    table = _table(spark, path, names, delimiter, multiline)
+        multiline = any(s["odd"] for s in splits)
+    heads = [s["head"] for s in splits if s["head"] is not None]
+
+    def records(whole):
+        if multiline:
+            return _spanning(spark, path, len(names), delimiter, whole)
+        return _lines(text, heads, len(names), delimiter, whole)
+
+    cells = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
     if malformed == "quarantine":
-        return _table(spark, path, names, delimiter, multiline, whole=True)
+        return records(True).select(*cells, CORRUPT)
     if audit:
-        whole = _table(spark, path, names, delimiter, multiline, whole=True)
-        if whole.where(F.col(CORRUPT).isNotNull()).select(col(names[0]), CORRUPT).take(1):
-            raise TableError("ROW_WIDTH", "Some records do not match the header.", "Fix or quarantine them.")
-        audits.require_rows(table)
-    return table
+        _require_widths(records(True), splits, multiline)
+        if sum(s["filled"] for s in splits) <= len(heads):
+            raise TableError("NO_DATA", "The table has no records.", "Choose a table with data.")
+    return records(False).select(*cells)
+
+
+def _require_same_headers(spark, splits, names, delimiter):
+    """The first non-empty line of every file gives the same names in the same order."""
+    for s in splits:
+        if s["head"] is not None and s["head"] != s["same"] and header(spark, s["file"], delimiter) != names:
+            raise TableError("HEADERS", "The files have different headers.", "Give files of one table.", row=1)
+
+
+def _require_widths(records, splits, multiline):
+    wrong = records.where(F.col(CORRUPT).isNotNull())
+    known = [] if multiline else ["_metadata.file_path", "_metadata.file_block_start", audits.PLACE]
+    fault = wrong.select("c0", CORRUPT, *known).first()
+    if fault:
+        line = None if multiline else audits.line_number(splits, *fault[2:])
+        raise TableError("ROW_WIDTH", "Some records do not match the header.", "Fix or quarantine them.", row=line)
+
+
+def _options(delimiter):
+    return {
+        "sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false", "columnNameOfCorruptRecord": CORRUPT,
+    }
+
+
+def _lines(text, heads, width, delimiter, whole):
+    """Records of one line each. Without `whole`, widths are not checked."""
+    fields = [f"c{i} string" for i in range(width)] + ([f"{CORRUPT} string"] if whole else [])
+    rows = text.where((audits.content("value") != "") & ~F.col(audits.PLACE).isin(heads))
+    return rows.select(F.from_csv("value", ", ".join(fields), _options(delimiter)).alias("r"), audits.PLACE).select("r.*", audits.PLACE)
 
 
-def _table(spark, path, names, delimiter, multiline, whole=False):
-    """Without `whole`, only the columns asked for are parsed and widths are not checked."""
-    fields = [StructField(n, StringType()) for n in names]
+def _spanning(spark, path, width, delimiter, whole):
+    """Records that may go over line ends, one task per file."""
+    fields = [StructField(f"c{i}", StringType()) for i in range(width)]
     if whole:
         fields.append(StructField(CORRUPT, StringType()))
-    return (
-        spark.read.schema(StructType(fields))
-        .option("sep", delimiter)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("columnPruning", not whole)
-        .option("maxCharsPerColumn", -1)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
+    reader = spark.read.schema(StructType(fields)).options(**_options(delimiter))
+    return reader.option("header", True).option("multiLine", True).option("columnPruning", not whole).csv(path)
 
 
 def write_delimited(df, path, delimiter=","):
