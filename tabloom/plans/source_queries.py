@@ -107,6 +107,21 @@ def row_width_audit(spark, directory):
     return read.select("id", F.col(CORRUPT).isNotNull().alias("malformed"))
 
 
+# Records of nothing but blanks and tabs are records; empty lines are none.
+@query("""SELECT CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE o_orderkey::varchar END AS id,
+  CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE 'x' END AS kind FROM orders WHERE o_orderkey % 5 <> 2""")
+def tsv_blank_records(spark, directory):
+    path = scratch_directory(spark, "blanks")
+    k = F.col("o_orderkey") % 5
+    line = (
+        F.when(k == 0, "\t").when(k == 1, " \t  ").when(k == 2, "").otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit("\tx")))
+    )
+    # A header of its own in every file, as the writer gives to tables of several columns.
+    rows = table(spark, directory, "orders").repartition(4, "o_orderkey").select(line.alias("id\tkind"))
+    rows.write.options(header=True, quote="", sep="|", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_delimited(spark, path, "\t")
+
+
 @query("SELECT count(*) FILTER (o_orderkey % 9 = 3) AS blank_records FROM orders")
 def blank_record_count(spark, directory):
     path = scratch_directory(spark, "blank")
