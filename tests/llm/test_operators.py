@@ -162,14 +162,14 @@ def test_lm_windows_score_each_id_once_and_look_back_only():
     last[-1] = True
     tables, weights = lm_scoring.Tables(rng.integers(0, 4, (60, 60)).astype(float), last), lm_scoring.fresh(60)
     weights["out"] = rng.standard_normal(weights["out"].shape).astype(np.float32)
-    ids = rng.integers(0, 60, 40)
-    one = lm_scoring.log_probabilities(weights, tables, ids, np.array([40]), 59)
+    ids, reader = rng.integers(0, 60, 40), lm_scoring.Reader(weights, tables)
+    one = reader.log_probabilities(ids, np.array([40]), 59)
     changed = ids.copy()
     changed[30:] = (changed[30:] + 1) % 60
-    two = lm_scoring.log_probabilities(weights, tables, changed, np.array([40]), 59)
+    two = reader.log_probabilities(changed, np.array([40]), 59)
     assert np.allclose(one[:30], two[:30], atol=1e-5) and not np.allclose(one[31:], two[31:], atol=1e-5)
-    row = lm_scoring.log_probabilities(weights, tables, np.array([7] * 5), np.array([5]), 59)
-    every = [lm_scoring.log_probabilities(weights, tables, np.array([7, 7, k]), np.array([3]), 59)[2] for k in range(60)]
+    row = reader.log_probabilities(np.array([7] * 5), np.array([5]), 59)
+    every = [reader.log_probabilities(np.array([7, 7, k]), np.array([3]), 59)[2] for k in range(60)]
     assert np.isclose(np.exp(every).sum(), 1, atol=1e-3) and len(row) == 5
 
 
