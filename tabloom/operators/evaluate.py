@@ -18,11 +18,13 @@ def label_counts(train, label="label"):
     return train.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
 
 
-def _bounded_labels(labels):
-    """All training labels in one row; a target has at most twenty, more is an error."""
-    bounded = labels.limit(MAX_CLASSES + 1).agg(F.sort_array(F.collect_list("label")).alias("labels"))
+def _bounded_labels(labels, most):
+    """All training labels in one row; more than `most` is an error, None allows any number."""
+    if most is None:
+        return labels.agg(F.sort_array(F.collect_list("label")).alias("labels"))
+    bounded = labels.limit(most + 1).agg(F.sort_array(F.collect_list("label")).alias("labels"))
     return bounded.select(
-        F.when(F.size("labels") <= MAX_CLASSES, F.col("labels"))
+        F.when(F.size("labels") <= most, F.col("labels"))
         .otherwise(F.raise_error(F.lit("EVALUATION: too many classes")).cast("array<string>"))
         .alias("labels")
     )
@@ -34,10 +36,13 @@ def pair_counts(scored, label="label", prediction="prediction"):
     )
 
 
-def confusion_matrix(pairs, labels):
-    """One row per (label, prediction) over all training labels, zeros filled in."""
+def confusion_matrix(pairs, labels, most_labels=MAX_CLASSES):
+    """One row per (label, prediction) over all training labels, zeros filled in.
+
+    The result has the square of the number of labels; over `most_labels` of them (None: no limit) is an error.
+    """
     grid = (
-        _bounded_labels(labels)
+        _bounded_labels(labels, most_labels)
         .select(F.explode("labels").alias("label"), "labels")
         .select("label", F.explode("labels").alias("prediction"))
     )

@@ -116,3 +116,11 @@ def test_too_many_classes_fail(spark):
     with pytest.raises(Exception, match="EVALUATION"):
         ev.confusion_matrix(pairs, labels).collect()
     assert isinstance(ev.evaluation_error(), TableError)
+
+
+def test_number_of_classes_without_a_limit(spark):
+    names = [f"k{k:02}" for k in range(23)]
+    labels = spark.createDataFrame([(n, 1) for n in names], "label string, n long")
+    pairs = spark.createDataFrame([("k00", "k22", 4)], "label string, prediction string, n long")
+    grid = {(r["label"], r["prediction"]): r["n"] for r in ev.confusion_matrix(pairs, labels, most_labels=None).collect()}
+    assert len(grid) == 23**2 and grid["k00", "k22"] == 4 and sum(grid.values()) == 4
