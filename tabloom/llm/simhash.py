@@ -26,14 +26,14 @@ SHARD_PRINTS = 4096
 FRONTIER = 1_000_000
 
 
-def fingerprint(text, width=3):
-    """64-bit SimHash over hashed word shingles, repeats counted; a signed integer."""
+def shingle_hashes(text, width):
+    """64-bit hashes of the word shingles of a text, repeats included; a shorter text is one shingle."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = words_of(text)
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -42,7 +42,16 @@ def fingerprint(text, width=3):
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    hashes = [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def fingerprint(text, width=3):
+    """64-bit SimHash over hashed word shingles, repeats counted; a signed integer."""
+    import numpy as np
+
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, BITS)
     most = 2 * np.add.reduce(bits, axis=0, dtype=np.int64) > len(hashes)
     return int.from_bytes(np.packbits(most).tobytes(), "big", signed=True)
