@@ -2,7 +2,10 @@
 
 import public_tokenizers
 
-from tabloom.llm import language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter
+from tabloom.llm import (
+    language_id, lm_scoring, mixing, packing, periodic_runs, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter,
+    whitening,
+)
 
 QUERIES, SQL = {}, {}
 
@@ -67,3 +70,13 @@ SQL["op8_mixing"] = mixing.mixed_sql()
 @query
 def op10_spot_signatures(spark, directory):
     return spot_signatures.edited_report(table(spark, directory, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, directory):
+    return periodic_runs.find_runs(table(spark, directory, "documents"), prepare=periodic_runs.planted)
+
+
+@query
+def op13_embedding_whitening(spark, directory):
+    return whitening.whiten(table(spark, directory, "embeddings"))
