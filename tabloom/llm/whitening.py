@@ -27,6 +27,8 @@ DEGREE, ROUNDS = 8, 40
 TOLERANCE, LOOSE = 1e-14, 1e-11
 #: The unwanted spectrum ends this share below the last wanted value, even if the block's values are all equal.
 APART = 0.05
+#: How much more a filter may let one wanted vector grow than another.
+SPREAD = 1e8
 EMPTY = 1e-13
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double"
 
@@ -176,8 +178,8 @@ def leading(multiply, dims, wanted, guards=GUARDS, degree=DEGREE, rounds=ROUNDS,
         values, turns = np.linalg.eigh((small + small.T) / 2)
         values, turns = values[::-1], turns[:, ::-1]
         block, image = block @ turns, image @ turns
-        residual = np.linalg.norm(image - block * values, axis=0)[:wanted].max()
-        top = max(values[0], 0.0)
+        residuals = np.linalg.norm(image - block * values, axis=0)[:wanted]
+        residual, top = residuals.max(), max(values[0], 0.0)
         if residual <= tolerance * top or top == 0 or width == dims:
             break
         if residual <= LOOSE * top and residual > best / 2:  # rounding is reached
@@ -187,20 +189,34 @@ def leading(multiply, dims, wanted, guards=GUARDS, degree=DEGREE, rounds=ROUNDS,
         if edge <= low:
             low = 0.0
         high = min(float(values[-1]), edge - APART * (edge - low))
-        middle, half = (high + low) / 2, max((high - low) / 2, 1e-3 * top)
-        # scaled so that the largest eigenvalue keeps its size; the image is the first pass of the recurrence
-        first = scale = half / (top - middle) if top > middle else 1.0
-        before, now = block, (image - middle * block) * (scale / half)
-        for _ in range(degree - 1):
-            following = 1 / (2 / first - scale)
-            before, now = now, 2 * (following / half) * (product(now) - middle * now) - scale * following * before
-            scale = following
-        block = np.linalg.qr(now)[0]
+        done = int((np.cumsum(residuals > tolerance * top) == 0).sum())  # these vectors are locked
+        found = block[:, :done]
+        block = filtered(product, found, block[:, done:], image[:, done:], (low, high), (float(values[done]), edge), degree)
+        block = np.linalg.qr(np.column_stack([found, block]))[0]
     else:
         raise ArithmeticError(f"residual {residual:.2g} after {passes} passes; give more guards or rounds")
     return np.maximum(values[:wanted], 0), block[:, :wanted], passes
 
 
+def filtered(product, found, block, image, unwanted, kept, degree):
+    """A Chebyshev polynomial of V times the block, small between the ends of `unwanted`, orthogonal to `found`.
+
+    Its degree falls where the largest of the `kept` values would grow SPREAD times more than the smallest one, which
+    rounding could then not tell from zero. Scaled so that the largest keeps its size; `image` is the first pass.
+    """
+    middle, half = sum(unwanted) / 2, max((unwanted[1] - unwanted[0]) / 2, 1e-3 * kept[1], 1e-300)
+    growth = [np.arccosh(max(1.0, (v - middle) / half)) for v in kept]
+    degree = max(1, min(degree, int(np.log(SPREAD) / max(growth[0] - growth[1], 1e-9))))
+    first = scale = half / (kept[0] - middle) if kept[0] > middle else 1.0
+    before, now = block, (image - middle * block) * (scale / half)
+    for _ in range(degree - 1):
+        now = now - found @ (found.T @ now)
+        following = 1 / (2 / first - scale)
+        before, now = now, 2 * (following / half) * (product(now) - middle * now) - scale * following * before
+        scale = following
+    return now - found @ (found.T @ now)
+
+
 class Whitening:
     """A fitted whitening: `centre`, `values`, `axes`, `trace` and `error`, measured over all rows."""
 
