@@ -3,8 +3,8 @@
 import public_tokenizers
 
 from tabloom.llm import (
-    language_id, lm_scoring, mixing, packing, periodic_runs, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter,
-    whitening,
+    language_id, lm_scoring, mixing, packing, periodic_runs, quality_rules, secret_scan, simhash, spot_signatures, token_counts, token_files,
+    url_filter, whitening,
 )
 
 QUERIES, SQL = {}, {}
@@ -80,3 +80,8 @@ def op12_periodic_runs(spark, directory):
 @query
 def op13_embedding_whitening(spark, directory):
     return whitening.whiten(table(spark, directory, "embeddings"))
+
+
+@query
+def op11_token_files(spark, directory):
+    return token_files.round_trip(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
