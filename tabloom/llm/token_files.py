@@ -6,13 +6,13 @@ array of 2 or 4 bytes each. Elias-Fano keeps the low bits of each number as they
 2 + log2(universe / count) bits a number, with the place of every SAMPLE-th one noted, so that `select` reads single boundaries
 without a table of 64-bit offsets.
 
-Documents are tokenised once, dealt to ranges of (doc_id, hash of the ids, place) and sorted there, so equal ids and null
-ones are spread too; a task writes a file for each SEGMENT_IDS ids or so. Spark's own text writer puts the bytes into files,
+Texts are dealt to ranges of (doc_id, hash of the text, place) and sorted there, so equal ids and null ones are spread too;
+a task tokenises its range and writes a file for each SEGMENT_IDS ids or so. Spark's own text writer puts the bytes into files,
 one a record, followed by its line feed: so the commit of its tasks holds for segments too, on any file system. Segments are numbered by
 range and place in it; a document's start in the corpus is the sum of all segments before plus its boundary.
 
 Null and empty texts are the end id alone. Rows without doc_id come first. Repeated rows are written as often as they
-occur, in order of their ids' hash. Very long texts make a longer segment. An empty table makes no file. Other columns are
+occur, in order of their texts' hash. Very long texts make a longer segment. An empty table makes no file. Other columns are
 not read.
 """
 
@@ -21,7 +21,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +31,8 @@ from tabloom.llm.common import shared_path, stored
 from tabloom.llm.packing import LONGEST, REMEMBERED, RUN_CHARACTERS, runs
 
 SEGMENT_IDS = 1 << 22
+#: Bytes of text in a range, unless that makes more than MOST_PARTS of them.
+PART_BYTES, MOST_PARTS = 32 << 20, 20_000
 #: Every so many ones of the high bits have their place noted.
 SAMPLE = 256
 #: Rows of the segment table that may be sent to all tasks; each stands for SEGMENT_IDS ids.
@@ -132,33 +133,22 @@ class Segment:
         return self.array[self.boundaries.select(k) : self.boundaries.select(k + 1)]
 
 
-class KnownParts(dict):
-    """Ids of parts of texts, encoded when first asked for; long ones are not kept, nor more than REMEMBERED."""
-
-    def __init__(self, tokenizer, kind):
-        super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
-
-    def __missing__(self, part):
-        ids = array(self.kind, self.tokenizer.encode(part.decode(), add_special_tokens=False).ids).tobytes()
-        if len(part) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = ids
-        return ids
-
-
 class ByteIds:
     """Ids of whole texts by a byte-level vocabulary, `width` little-endian bytes each.
 
     Its pattern starts a pre-token at each space before another character, takes a line break between others alone, and a
     comma or period between a letter and white space too; no merge crosses pre-tokens. So a text's ids are those of its parts in a row,
-    and each distinct part is encoded once. Texts with special strings, or other vocabularies, are encoded whole.
+    and a part is encoded once while it is remembered: those not met among the last REMEMBERED / 2 new ones are forgotten. New parts are
+    encoded as lines of one text. Texts with special strings, or other vocabularies, are encoded whole.
     """
 
     STOPS = re.compile(rb"[.,](?<=[A-Za-z].)(?=[ \n])")
     ODD = re.compile(r"\s(?:\s|\Z)|\0")
+    #: ASCII white space other than space and line feed, and what marks the parts.
+    RARE = b"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
     SPACES = re.compile(r" (?=\S)")
+    #: Parts encoded as one text.
+    LINES = 256
 
     def __init__(self, path, end_id=0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel unit
@@ -166,28 +156,67 @@ class ByteIds:
 
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         made = json.loads(self.tokenizer.to_str())
         steps = made["pre_tokenizer"] or {}
         self.apart = made["normalizer"] is None and (steps.get("type"), steps.get("use_regex"), steps.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.special = [t["content"] for t in made["added_tokens"]]
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.known = KnownParts(self.tokenizer, "H" if self.width == 2 else "I")
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def parts(self, text):
         if not text:
             return []
         if not self.apart or any(s in text for s in self.special):
             return [text.encode()]
-        if self.ODD.search(text):
+        line = text.encode()
+        plain = line.isascii() and len(line.translate(None, self.RARE)) == len(line) and not line.endswith((b" ", b"\n"))
+        if self.ODD.search(text) if not plain else b"  " in line or b"\n\n" in line or b" \n" in line or b"\n " in line:
             first, *rest = self.SPACES.split(text)
             return [first.encode(), *[b" " + p.encode() for p in rest]]
-        line = self.STOPS.sub(rb"\0\g<0>", text.encode())
+        line = self.STOPS.sub(rb"\0\g<0>", line)
         return line.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
 
-    def ids(self, text):
-        """The ids of a text, as bytes."""
-        return b"".join(map(self.known.__getitem__, self.parts(text)))
+    def line_like(self, part):
+        """Whether a part is one word, with a space before it or not, so that a line feed after it is a pre-token of its own."""
+        word = part[1:] if part[:1] == b" " else part
+        return part.split() == [word] if part.isascii() else part.decode().split() == [word.decode()]
+
+    def encoded(self, parts):
+        """Ids of parts, as bytes: those like lines many at once."""
+        kind, found, lines, rest = f"<u{self.width}", {}, [], []
+        for p in parts:
+            (lines if self.apart and len(self.line) == 1 and self.line_like(p) else rest).append(p)
+        groups = [lines[k : k + self.LINES] for k in range(0, len(lines), self.LINES)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b"\n".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, kind)
+            ends = (np.flatnonzero(ids == self.line[0]) * self.width).tolist()
+            data, starts = ids.tobytes(), [0, *[x + self.width for x in ends]]
+            found.update(zip(group, [data[a:b] for a, b in zip(starts, [*ends, len(data)], strict=True)], strict=True))
+        found.update(zip(rest, [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)]))
+        return found
+
+    def ids(self, texts):
+        """The ids of each of some texts, as bytes."""
+        rows, holes = [], []
+        for text in texts:
+            parts = self.parts(text)
+            ids, at = list(map(self.known.get, parts)), -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    holes.append((ids, at, parts[at]))
+            except ValueError:  # no more
+                rows.append(ids)
+        new = {part for _, _, part in holes}
+        made = {p: x for p in new if (x := self.older.get(p)) is not None}
+        made.update(self.encoded([p for p in new if p not in made]))
+        for ids, at, part in holes:
+            ids[at] = made[part]
+        self.known.update((p, x) for p, x in made.items() if len(p) <= LONGEST)
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        return list(map(b"".join, rows))
 
 
 @lru_cache(maxsize=2)
@@ -195,56 +224,40 @@ def byte_ids(path, end_id):
     return ByteIds(path, end_id)
 
 
-def tokenised(documents, vocabulary, end_id=0):
-    """doc_id, width, n_tokens and ids of every document, its end id last."""
-
-    def encode(batches):
-        import pyarrow as pa
-
-        tokens = byte_ids(vocabulary, end_id)
-        end = end_id.to_bytes(tokens.width, "little")
-        for batch in batches:
-            for docs in runs(batch, RUN_CHARACTERS):
-                ids = [tokens.ids(text) + end for _, text in docs]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([i for i, _ in docs], pa.int64()), "width": pa.array([tokens.width] * len(ids), pa.int32()),
-                    "n_tokens": pa.array([len(x) // tokens.width for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
-                })
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(encode, "doc_id long, width int, n_tokens long, ids binary")
-
-
-def write_corpus(documents, vocabulary, path, end_id=0, segment_ids=SEGMENT_IDS):
-    """Write the ids of all documents below a new path, in rising doc_id order; the segments' number of ids is about `segment_ids`."""
-    rows = stored(tokenised(documents, vocabulary, end_id).withColumn("place", F.monotonically_increasing_id()), "ids")
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    order = ["doc_id", F.xxhash64("ids"), "place"]
-    dealt = rows.repartitionByRange(max(1, math.ceil(total / segment_ids)), *order).sortWithinPartitions(*order)
+def write_corpus(documents, vocabulary, path, end_id=0, segment_ids=SEGMENT_IDS, part_bytes=PART_BYTES):
+    """Write the ids of all documents below a new path, in rising doc_id order; segments hold `segment_ids` ids or a text more."""
+    order = ["doc_id", "hash", "place"]
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"), "text"
+    )
+    size = documents.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)).first()[0] or 0
+    parts = min(MOST_PARTS, math.ceil(size / part_bytes) or 1)
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def segments(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, seq, names, sizes, ids, held, width = TaskContext.get().partitionId(), 0, [], [], [], 0, 2
+        tokens, part = byte_ids(vocabulary, end_id), TaskContext.get().partitionId()
+        end, seq, names, sizes, ids, held = end_id.to_bytes(tokens.width, "little"), 0, [], [], [], 0
 
         def made():
-            return pa.RecordBatch.from_pydict({"value": pa.array([Segment.encode(part, seq, width, names, sizes, ids)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"value": pa.array([Segment.encode(part, seq, tokens.width, names, sizes, ids)], pa.binary())})
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("doc_id", "width", "n_tokens", "ids")]
-            for doc_id, width, n, found in zip(*columns, strict=True):
-                names.append(doc_id)
-                sizes.append(n)
-                ids.append(found)
-                held += n
-                if held >= segment_ids:
-                    yield made()
-                    seq, names, sizes, ids, held = seq + 1, [], [], [], 0
+            for docs in runs(batch, RUN_CHARACTERS):
+                for (doc_id, _), found in zip(docs, tokens.ids([text for _, text in docs]), strict=True):
+                    names.append(doc_id)
+                    ids += [found, end]
+                    sizes.append(len(found) // tokens.width + 1)
+                    held += sizes[-1]
+                    if held >= segment_ids:
+                        yield made()
+                        seq, names, sizes, ids, held = seq + 1, [], [], [], 0
         if names:
             yield made()
 
-    files = dealt.drop("place").mapInArrow(segments, "value binary")
+    files = dealt.mapInArrow(segments, "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 

@@ -52,11 +52,13 @@ def test_elias_fano(count, most):
 
 def test_ids_are_those_of_the_library(tokenizer):
     rng, tokens = random.Random(1), token_files.ByteIds(BYTES)
+    tokens.LINES = 5
     texts = ["".join(rng.choices(PIECES, k=rng.randint(0, 14))) for _ in range(20000)]
     want = [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert list(map(tokens.ids, texts)) == want
+    assert tokens.ids(texts) == want
+    assert [x for k in range(0, 20000, 37) for x in tokens.ids(texts[k : k + 37])] == want
     other, plain = token_files.ByteIds(WORDS), Tokenizer.from_file(WORDS)
-    assert not other.apart and other.ids("Some, text") == np.array(plain.encode("Some, text", add_special_tokens=False).ids, "<u2").tobytes()
+    assert not other.apart and other.ids(["Some, text"])[0] == np.array(plain.encode("Some, text", add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def test_query_on_a_table(spark, tokenizer):
@@ -73,7 +75,7 @@ def test_nulls_repeats_long_texts_and_many_segments(spark, tokenizer):
     rows += [(5, texts[3], "x", 1)] * 3 + [(None, t, None, None) for t in texts] * 4 + [(2**62, "far", "x", 1), (-(2**62), "first", "x", 1)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, start string, part int").repartition(3)
     path = common.shared_path(spark, "many")
-    token_files.write_corpus(documents, BYTES, path, segment_ids=2000)
+    token_files.write_corpus(documents, BYTES, path, segment_ids=2000, part_bytes=5000)
     got = token_files.read_corpus(spark, path).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == expected([r[:2] for r in rows], tokenizer)
     gapless(got)
