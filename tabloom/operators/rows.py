@@ -7,29 +7,38 @@ from tabloom.contracts import SEED
 from tabloom.functions.names import col
 
 
-def with_file_order(df, name="row_id"):
+#: Rows of the block table, one per file block, that may be sent to all tasks.
+BROADCAST_BLOCKS = 200_000
+
+
+def with_file_order(df, name="row_id", broadcast_blocks=BROADCAST_BLOCKS):
     """Dense zero-based row numbers in file order, for a DataFrame read straight from files.
 
     Each file block knows its own first row after a count per block. Only those counts
-    are put in order, one row per block; the join back is a broadcast while they are few.
+    are put in order, one row per block, and joined back: a broadcast while they are few. A
+    delimited table with line breaks in cells is numbered by the columns that
+    `read_delimited(..., places=True)` adds.
     """
-    placed = df.select(
+    if name in df.columns:
+        raise ValueError(f"the table has a column {name} already")
+    placed = df if {"__path", "__block", "__place"} <= set(df.columns) else df.select(
         "*",
         F.col("_metadata.file_path").alias("__path"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__place"),
     )
-    blocks = placed.groupBy("__path", "__block").agg(
-        F.count("*").alias("rows"), F.min("__place").alias("__first")
-    )
+    blocks = placed.groupBy("__path", "__block").agg(F.count("*").alias("rows"), F.min("__place").alias("__first")).persist()
     before = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
-        "__path", "__block", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+        "__path", "__block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__base"),
+        F.coalesce("__first", F.lit(0)).alias("__first"), (F.col("rows") - 1).alias("__last"),
     )
+    starts = F.broadcast(starts) if blocks.count() <= broadcast_blocks else starts
+    within = F.coalesce(F.col("__place") - F.col("__first"), F.col("__last"))  # no place: the record over the block's end
     return (
         placed.join(starts, ["__path", "__block"])
-        .withColumn(name, F.col("__place") + F.col("__shift"))
-        .drop("__path", "__block", "__place", "__shift")
+        .withColumn(name, F.col("__base") + within)
+        .drop("__path", "__block", "__place", "__base", "__first", "__last")
     )
 
 

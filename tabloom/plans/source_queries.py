@@ -1,13 +1,15 @@
 """Reading and auditing text files written from whole given tables, and example formulas."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.rows import with_file_order
 from tabloom.plans.catalog import query, table
 from tabloom.plans.text_tables import TEXT_ORDERS, TEXT_ORDERS_COLUMNS, text_orders
 from tabloom.sources import audits
 from tabloom.sources.delimited import CORRUPT, read_delimited, write_delimited
 from tabloom.sources.examples import example_columns
-from tabloom.sources.jsonl import lexical, read_jsonl, write_jsonl
+from tabloom.sources.jsonl import json_faults, json_structure, lexical, read_jsonl, write_jsonl
 from tabloom.sources.scratch import scratch_directory
 
 _BLANK_TO_NULL = ", ".join(f"nullif({c}, '') AS {c}" for c in TEXT_ORDERS_COLUMNS)
@@ -40,24 +42,66 @@ def tsv_roundtrip(spark, directory):
 @query("SELECT doc_id::varchar AS doc_id, text, lang, source FROM documents")
 def csv_multiline_roundtrip(spark, directory):
     path = scratch_directory(spark, "documents")
-    rows = table(spark, directory, "documents").select(F.col("doc_id").cast("string"), "text", "lang", "source")
-    # Several files, since one file with line breaks inside cells is read by one task.
-    write_delimited(rows.repartition(8, "doc_id"), path)
+    write_delimited(table(spark, directory, "documents").select(F.col("doc_id").cast("string"), "text", "lang", "source"), path)
     return read_delimited(spark, path)
 
 
+# Rows with line breaks in cells keep their order, however the files are split over tasks.
+@query("""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id::varchar AS doc_id, nullif(text, '') AS text, nullif(lang, '') AS lang,
+  nullif(source, '') AS source FROM documents""")
+def csv_multiline_split(spark, directory):
+    path = scratch_directory(spark, "ordered")
+    rows = table(spark, directory, "documents").orderBy("doc_id").select(F.col("doc_id").cast("string"), "text", "lang", "source")
+    write_delimited(rows, path)
+    read = with_file_order(read_delimited(spark, path, places=True))
+    return read.select("row_id", *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("doc_id", "text", "lang", "source")])
+
+
+# Two lines for every fourth order, quotes in every seventh; a closed cell goes on in some, and the first of them counts.
+@query("""WITH r AS (SELECT o_orderkey, sum(CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 1 END) OVER (ORDER BY o_orderkey) AS upto FROM orders)
+SELECT (SELECT max(upto) FROM r)::bigint AS lines, min(upto)::bigint AS line, true AS spans FROM r WHERE o_orderkey % 1000 = 502""")
+def csv_quoting_audit(spark, directory):
+    path = scratch_directory(spark, "quotes")
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+    line = (
+        F.when(k % 1000 == 502, F.concat(key, F.lit(',"a"b'))).when(k % 4 == 1, F.concat(key, F.lit(',"a\n""b"')))
+        .when(k % 7 == 0, F.concat(F.lit('"'), key, F.lit('","""",'))).otherwise(F.concat(key, F.lit(",a,")))
+    )
+    table(spark, directory, "orders").orderBy("o_orderkey").select(line.alias("value")).write.text(path)
+    report = audits.quoting_report(spark, path)
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
+    return report.withColumn("line", F.col("line") + before).agg(
+        F.sum("lines").alias("lines"), F.min("line").alias("line"), F.bool_or("spans").alias("spans")
+    )
+
+
+# Bytes that are no UTF-8: a lone continuation, an overlong form, half a surrogate and an open sequence.
+@query("SELECT count(*) FILTER (o_orderkey % 11 IN (1, 4, 6, 9)) AS bad_lines, count(*) AS lines FROM orders")
+def encoding_audit(spark, directory):
+    path = scratch_directory(spark, "bytes")
+    k = F.col("o_orderkey") % 11
+    tail = (
+        F.when(k == 1, F.unhex(F.lit("80"))).when(k == 4, F.unhex(F.lit("C0AF"))).when(k == 6, F.unhex(F.lit("EDA080")))
+        .when(k == 9, F.unhex(F.lit("E282"))).otherwise(F.unhex(F.lit("E282AC")))
+    )
+    line = F.concat(F.col("o_orderkey").cast("string").cast("binary"), tail).cast("string")
+    table(spark, directory, "orders").select(line.alias("value")).write.text(path)
+    return audits.encoding_audit(spark, path)
+
+
 @query(_ORDERS_BACK)
 def jsonl_roundtrip(spark, directory):
     path = scratch_directory(spark, "jsonl")
     write_jsonl(_text(spark, directory), path)
-    return _blanks_to_null(lexical(read_jsonl(spark, path)))
+    return _blanks_to_null(lexical(read_jsonl(spark, path, malformed="raise")))
 
 
 @query(_ORDERS_BACK)
 def jsonl_roundtrip_plain(spark, directory):
     path = scratch_directory(spark, "jsonl")
     write_jsonl(_text(spark, directory), path)
-    return _blanks_to_null(read_jsonl(spark, path, kinds=False))
+    return _blanks_to_null(read_jsonl(spark, path, kinds=False, malformed="raise"))
 
 
 # Values of every JSON kind by line item; number tokens with exponents keep their spelling.
@@ -76,6 +120,30 @@ def json_kinds(spark, directory):
     return read_jsonl(spark, path).select(F.col("id.raw").alias("id"), F.col("x.raw").alias("raw"), F.col("x.kind").alias("kind"))
 
 
+# Every seventh record or so is faulty in its own way; lines count over all files, blank ones included.
+@query("""WITH r AS (SELECT o_orderkey, sum(CASE WHEN o_orderkey % 9 = 5 THEN 2 ELSE 1 END) OVER (ORDER BY o_orderkey) AS line FROM orders)
+SELECT line::bigint AS line, CASE o_orderkey % 50 WHEN 3 THEN 'JSON_KEYS' WHEN 4 THEN 'ENCODING' ELSE 'JSON_STRUCTURE' END AS code
+FROM r WHERE o_orderkey % 50 IN (3, 4, 8, 13, 20, 27, 34, 41)""")
+def json_record_faults(spark, directory):
+    path = scratch_directory(spark, "faults")
+    order = F.col("o_orderkey")
+    key = order.cast("string")
+    odd = {
+        3: '{"id":1,"y":2}', 8: '{"id":1,"x":1e400}', 13: '{"id":1,"x":"\\ud83d \\udead"}', 20: '{"id":1,"x":2} {}', 27: '{"id":1,"x":2,"x":2}',
+        34: '{"id":1,"x":[2]}', 41: '{"id":1,"x":NaN}',
+    }
+    text = F.concat(F.lit('{"id":"'), key, F.lit('","x":"\\ud83d\\ude00 \\\\ud83d"}'))
+    for k, fault in odd.items():
+        text = F.when(order % 50 == k, F.lit(fault)).otherwise(text)
+    line = F.when(order % 50 == 4, F.concat(F.lit('{"id":"'), F.unhex(F.lit("E282")), F.lit('","x":1}')).cast("string")).otherwise(text)
+    line = F.when(order % 9 == 5, F.concat(F.lit(" \n"), line)).otherwise(line)
+    table(spark, directory, "orders").orderBy("o_orderkey").select(line.alias("value")).write.text(path)
+    files = audits.lines(spark, path).groupBy("file").agg(F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per file
+    found = json_faults(spark, path, ["id", "x"])
+    return found.join(files.select("file", before.alias("before")), "file").select((F.col("line") + F.col("before")).alias("line"), "code")
+
+
 # One fault per line in a fixed rotation.
 @query("""SELECT count(*) AS records, count(*) FILTER (o_orderkey % 10 IN (1, 2, 3)) AS not_objects,
   count(*) FILTER (o_orderkey % 10 IN (4, 5)) AS other_keys, count(*) FILTER (o_orderkey % 10 IN (6, 7)) AS nested FROM orders""")
@@ -90,7 +158,7 @@ def json_structure_audit(spark, directory):
         .otherwise(F.concat(F.lit('{"b":"x","a":'), key, F.lit("}")))
     )
     table(spark, directory, "orders").select(line.alias("value")).write.text(path)
-    return audits.json_structure(spark, path, ["a", "b"])
+    return json_structure(spark, path, ["a", "b"])
 
 
 @query("SELECT o_orderkey::varchar AS id, o_orderkey % 9 IN (1, 2) AS malformed FROM orders")

@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.errors import TableError
@@ -32,6 +33,14 @@ def lines(spark, path):
     )
 
 
+def with_line(lines, marked):
+    """The marked rows (file, block, place, ...) of a table of `lines`, with their line in the file, from 1, instead of block and place."""
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("place").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    return marked.join(starts, ["file", "block"]).withColumn("line", F.col("place") + F.col("shift")).drop("block", "place", "shift")
+
+
 PLACE = "__place"
 
 
@@ -45,29 +54,35 @@ def content(value):
     return F.rtrim(F.regexp_replace(value, f"^{BOM}", ""), F.lit("\r"))
 
 
-def split_summary(text, first):
-    """What is known of every file split, in file order, from one pass with fixed-width buffers.
+def split_summary(text, first, wrong_width=None):
+    """What is known of every file split, from one pass with fixed-width buffers.
 
     One row per split: its lines, those not empty, its smallest place, the places of its
-    first faulty line, of its file's first non-empty line (`head`) and of the first line
-    equal to `first`, and whether quotes, or odd numbers of them in a line, occur.
+    first faulty line (`bad`), of its file's first non-empty line (`head`), of the first line
+    equal to `first`, of the first non-empty line of another width (`ragged`), and whether quotes, or odd numbers of them in a line, occur.
     """
     place, start = F.col(PLACE), F.col("_metadata.file_block_start") == 0
     filled = content("value") != ""
     quotes = F.char_length("value") - F.char_length(F.translate("value", '"', ""))
+    ragged = F.lit(False) if wrong_width is None else filled & wrong_width
     return text.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).agg(
         F.count("*").alias("lines"), F.count_if(filled).alias("filled"), F.min(place).alias("place"),
         F.min(F.when(~F.is_valid_utf8("value"), place)).alias("bad"),
         F.min(F.when(filled & start, place)).alias("head"),
         F.min(F.when((content("value") == first) & start, place)).alias("same"),
+        F.min(F.when(ragged, place)).alias("ragged"),
         F.bool_or(quotes > 0).alias("quotes"), F.bool_or(quotes % 2 == 1).alias("odd"),
-    ).orderBy("file", "block").collect()
+    )
 
 
-def line_number(splits, file, block, place):
-    """Number, from 1, of a line in its file."""
-    before = sum(s["lines"] for s in splits if s["file"] == file and s["block"] < block)
-    return before + place - next(s["place"] for s in splits if (s["file"], s["block"]) == (file, block)) + 1
+def first_place(splits, column):
+    """Number, from 1, of the first line marked in a column of `split_summary`, counted in its file; None if there is none."""
+    found = splits.where(F.col(column).isNotNull()).orderBy("file", "block").select("file", "block", "place", column).first()
+    if found is None:
+        return None
+    file, block, start, place = found
+    before = splits.where((F.col("file") == file) & (F.col("block") < block)).agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    return before + place - start + 1
 
 
 def encoding_audit(spark, path):
@@ -144,89 +159,74 @@ def quoting_summary(spark, path, delimiter=","):
     """Per file split: the state at its end and its first broken line, for both starts.
 
     Rows: file, block, lines, end_outside, bad_outside, end_inside, bad_inside, spans;
-    `spans` tells whether a record goes over a line end when the split starts outside.
+    `spans` tells whether a record goes over a line end when the split starts outside. A line without quotes keeps
+    the state, so only the others leave the JVM.
     """
     effects_of = _line_effects(delimiter)
 
     def fold(batches):
         splits = {}
         for batch in batches:
-            for file, block, value in zip(batch["file"], batch["block"], batch["value"]):
-                state = splits.setdefault((file, block), [0, OUTSIDE, -1, INSIDE, -1, False])
+            for file, block, place, value in zip(batch["file"], batch["block"], batch["place"], batch["value"]):
+                state = splits.setdefault((file, block), [OUTSIDE, -1, INSIDE, -1, False])
                 steps = effects_of(value)
-                for start in (1, 3):
+                for start in (0, 2):
                     if state[start] != BROKEN:
                         state[start] = steps[state[start]]
                         if state[start] == BROKEN:
-                            state[start + 1] = state[0]
-                state[5] = state[5] or state[1] == INSIDE
-                state[0] += 1
+                            state[start + 1] = place
+                state[4] = state[4] or state[0] == INSIDE
         yield pd.DataFrame(
             [(f, b, *s) for (f, b), s in splits.items()],
-            columns=["file", "block", "lines", "end_outside", "bad_outside", "end_inside", "bad_inside", "spans"],
+            columns=["file", "block", "end_outside", "bad_outside", "end_inside", "bad_inside", "spans"],
         )
 
-    return lines(spark, path).select("file", "block", F.regexp_replace("value", f"^{BOM}", "").alias("value")).mapInPandas(
+    all_lines = lines(spark, path)
+    quoted = all_lines.where(F.contains("value", F.lit('"'))).select("file", "block", "place", F.regexp_replace("value", f"^{BOM}", "").alias("value"))
+    folded = quoted.mapInPandas(
         fold,
-        "file string, block bigint, lines bigint, end_outside int, bad_outside bigint, end_inside int, bad_inside bigint,"
-        " spans boolean",
+        "file string, block bigint, end_outside int, bad_outside bigint, end_inside int, bad_inside bigint, spans boolean",
+    )
+    counts = all_lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("place").alias("place"))
+    return counts.join(folded, ["file", "block"], "left").select(
+        "file", "block", "lines",
+        F.coalesce("end_outside", F.lit(OUTSIDE)).alias("end_outside"), (F.col("bad_outside") - F.col("place")).alias("bad_outside"),
+        F.coalesce("end_inside", F.lit(INSIDE)).alias("end_inside"), (F.col("bad_inside") - F.col("place")).alias("bad_inside"),
+        F.coalesce("spans", F.lit(False)).alias("spans"),
     )
 
 
-def quoting_audit(spark, path, delimiter=","):
-    """(line number of the first malformed record or None, whether any record spans lines)."""
-    spans = False
-    rows = sorted(quoting_summary(spark, path, delimiter).collect(), key=lambda r: (r["file"], r["block"]))
-    state, line, file = OUTSIDE, 0, None
-    for r in rows:
-        if r["file"] != file:
-            if state == INSIDE:
-                return line, spans
-            state, line, file = OUTSIDE, 0, r["file"]
-        end, bad = (r["end_outside"], r["bad_outside"]) if state == OUTSIDE else (r["end_inside"], r["bad_inside"])
-        spans = spans or state == INSIDE or r["spans"]
-        if end == BROKEN:
-            return line + bad + 1, spans
-        state, line = end, line + r["lines"]
-    return (line if state == INSIDE else None), spans
-
-
-def spanning_lines(spark, path, delimiter=","):
-    """Whether some quoted cell holds a line break: an odd number of quotes in a line.
-
-    Runs on built-in expressions only. A well-formed record on one line has paired quotes.
-    """
-    quotes = F.char_length("value") - F.char_length(F.translate("value", '"', ""))
-    return bool(spark.read.text(path).agg(F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()[0])
-
-
-def json_structure(spark, path, keys):
-    """Records that are not flat objects with exactly the given keys, by kind of fault.
+def quoting_report(spark, path, delimiter=","):
+    """One row per file: file, lines, line (number of the first malformed one, null if none) and spans.
 
-    One row of counts: lines that are no JSON object or repeat a key, that have other
-    keys, and that hold nested values.
+    The splits of a file are folded in order, each from the state that the one before leaves.
     """
-    text = F.regexp_replace("value", f"^{BOM}", "")
-    rows = spark.read.text(path).select(text.alias("value")).where(
-        F.trim(F.translate("value", "\t\r\n\x0b\x0c", "     ")) != ""
-    )
-    parsed = rows.select("value", F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("names"))
-    kind = F.schema_of_variant("v")
-    wanted = F.array_sort(F.array(*[F.lit(k) for k in keys]))
-    structure = F.col("v").isNull() | F.col("names").isNull()
-    # An object's schema text nests only when some member is itself an object or array.
-    inner = F.array(*[F.schema_of_variant(F.try_variant_get("v", _path(k), "variant")) for k in keys])
-    nested = F.exists(inner, lambda t: t.startswith("OBJECT") | t.startswith("ARRAY"))
-    return parsed.agg(
-        F.count("*").alias("records"),
-        F.count_if(structure | ~F.coalesce(kind.startswith("OBJECT"), F.lit(False))).alias("not_objects"),
-        F.count_if(~structure & (F.array_sort("names") != wanted)).alias("other_keys"),
-        F.count_if(~structure & (F.array_sort("names") == wanted) & F.coalesce(nested, F.lit(False))).alias("nested"),
-    )
+    split = F.struct("block", "lines", "end_outside", "bad_outside", "end_inside", "bad_inside", "spans")
+    files = quoting_summary(spark, path, delimiter).groupBy("file").agg(F.sort_array(F.collect_list(split)).alias("splits"))
+    start = "named_struct('state', {}, 'lines', 0L, 'line', cast(null as bigint), 'spans', false)".format(OUTSIDE)
+
+    def step(s, x):
+        outside = s["state"] == OUTSIDE
+        end = F.when(outside, x["end_outside"]).otherwise(x["end_inside"])
+        bad = F.when(outside, x["bad_outside"]).otherwise(x["bad_inside"])
+        return F.struct(
+            F.when(s["state"] == BROKEN, BROKEN).otherwise(end).alias("state"), (s["lines"] + x["lines"]).alias("lines"),
+            F.coalesce(s["line"], F.when((s["state"] != BROKEN) & (end == BROKEN), s["lines"] + bad + 1)).alias("line"),
+            F.when(s["state"] == BROKEN, s["spans"]).otherwise(s["spans"] | ~outside | x["spans"]).alias("spans"),
+        )
+
+    folded = files.select("file", F.aggregate("splits", F.expr(start), step).alias("s"))
+    line = F.when(F.col("s.state") == INSIDE, F.col("s.lines")).otherwise(F.col("s.line"))  # a cell open at the end
+    return folded.select("file", "s.lines", line.alias("line"), "s.spans")
 
 
-def _path(key):
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def quoting_audit(spark, path, delimiter=","):
+    """(line number of the first malformed record or None, whether any record spans lines), by file order."""
+    report = quoting_report(spark, path, delimiter).persist()  # one row per file
+    broken = report.where("line IS NOT NULL").orderBy("file").select("line").first()
+    spans = report.agg(F.coalesce(F.bool_or("spans"), F.lit(False))).first()[0]
+    report.unpersist()
+    return (broken[0] if broken else None), spans
 
 
 def require_headers(names):

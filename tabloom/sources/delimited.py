@@ -3,12 +3,14 @@
 import csv
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tabloom.errors import TableError
 from tabloom.sources import audits
+from tabloom.sources.records import spanning_records
 
 CORRUPT = "__malformed"
+#: Files whose headers' places may be literals of the plan.
+LITERAL_FILES = 100
 
 
 def header(spark, path, delimiter=","):
@@ -31,69 +33,94 @@ def _names(line, delimiter):
     return names
 
 
-def read_delimited(spark, path, delimiter=",", multiline=None, malformed="fail", audit=True):
+def read_delimited(spark, path, delimiter=",", multiline=None, malformed="fail", audit=True, places=False):
     """All cells as text under their exact headers.
 
     Every file starts with the same header. Only empty lines are no records; one of blanks
-    or delimiters is. Lines are parsed on their own, so large files are split over
-    tasks, unless a quoted cell holds a line break (`multiline=None` looks for one): Spark
-    reads a file with such cells in one task, so large tables of that sort should come as
-    several files. `malformed` is `fail` or `quarantine`; the latter keeps records of
-    another width and shows their text in a column of its own.
-
-    One pass over the lines checks headers and encoding and finds the places of the headers; a
-    second, over lines with quotes, runs only if there are any. `audit` adds a parse for widths.
-    Errors name the line where it is known, counted in its file.
+    or delimiters is. Large files are split over tasks, also where quoted cells hold line breaks
+    (`multiline=None` looks for such cells; see `records`). `malformed` is `fail` or `quarantine`; the latter
+    keeps records of another width and shows their text in a column of its own.
+
+    One pass over the lines checks headers, encoding and widths and finds the places of the headers; a
+    second, over lines with quotes, runs only if there are any. Without `audit` neither quoting nor widths are checked.
+    Errors name the line where it is known, counted in its file. `places` adds the columns that
+    `with_file_order` numbers rows by, which a table of spanning records needs.
     """
     if malformed not in ("fail", "quarantine"):
         raise ValueError("malformed is fail or quarantine")
     first = _first_line(spark, path)
     names = _names(first, delimiter)
     text = audits.with_place(spark.read.text(path))
-    splits = audits.split_summary(text, first)
+    splits = audits.split_summary(text, first, _wrong_width(len(names), delimiter) if audit else None).persist()  # one row per split
+    facts = splits.agg(
+        F.bool_or("quotes").alias("quotes"), F.bool_or("odd").alias("odd"), F.sum("filled").alias("filled"),
+        F.count("head").alias("heads"), F.count_if(~F.col("head").eqNullSafe(F.col("same")) & F.col("head").isNotNull()).alias("others"),
+    ).first()
     if audit:
-        broken = next((s for s in splits if s["bad"] is not None), None)
-        if broken:
-            raise TableError("ENCODING", "The text is not UTF-8.", "Save it as UTF-8.",
-                             row=audits.line_number(splits, broken["file"], broken["block"], broken["bad"]))
-    _require_same_headers(spark, splits, names, delimiter)
+        line = audits.first_place(splits, "bad")
+        if line is not None:
+            raise TableError("ENCODING", "The text is not UTF-8.", "Save it as UTF-8.", row=line)
+    if facts["others"]:
+        _require_same_headers(text, splits, names, delimiter)
     if audit:
-        line, spans = audits.quoting_audit(spark, path, delimiter) if any(s["quotes"] for s in splits) else (None, False)
+        line, spans = audits.quoting_audit(spark, path, delimiter) if facts["quotes"] else (None, False)
         if line is not None:
             raise TableError("CSV_QUOTES", "Quotes are malformed.", "Fix the quoting.", row=line)
         multiline = spans if multiline is None else multiline
     elif multiline is None:
-        multiline = any(s["odd"] for s in splits)
-    heads = [s["head"] for s in splits if s["head"] is not None]
-
-    def records(whole):
-        if multiline:
-            return _spanning(spark, path, len(names), delimiter, whole)
-        return _lines(text, heads, len(names), delimiter, whole)
-
+        multiline = facts["odd"]
+    if multiline:
+        rows = spanning_records(spark, path)
+    else:
+        rows = _without_headers(text, splits, facts["heads"])
+        if places:
+            file, block = F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block")
+            rows = rows.select("value", file, block, F.monotonically_increasing_id().alias("__place"))
+    kept = ["__path", "__block", "__place"] if places else []
     cells = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
     if malformed == "quarantine":
-        return records(True).select(*cells, CORRUPT)
+        return _parsed(rows, len(names), delimiter, True, kept).select(*cells, CORRUPT, *kept)
     if audit:
-        _require_widths(records(True), splits, multiline)
-        if sum(s["filled"] for s in splits) <= len(heads):
+        _require_widths(rows, splits, len(names), delimiter, multiline)
+        if facts["filled"] <= facts["heads"]:
             raise TableError("NO_DATA", "The table has no records.", "Choose a table with data.")
-    return records(False).select(*cells)
-
-
-def _require_same_headers(spark, splits, names, delimiter):
-    """The first non-empty line of every file gives the same names in the same order."""
-    for s in splits:
-        if s["head"] is not None and s["head"] != s["same"] and header(spark, s["file"], delimiter) != names:
-            raise TableError("HEADERS", "The files have different headers.", "Give files of one table.", row=1)
-
-
-def _require_widths(records, splits, multiline):
-    wrong = records.where(F.col(CORRUPT).isNotNull())
-    known = [] if multiline else ["_metadata.file_path", "_metadata.file_block_start", audits.PLACE]
-    fault = wrong.select("c0", CORRUPT, *known).first()
-    if fault:
-        line = None if multiline else audits.line_number(splits, *fault[2:])
+    return _parsed(rows, len(names), delimiter, False, kept).select(*cells, *kept)
+
+
+def _wrong_width(width, delimiter):
+    """Whether a line holds another number of cells; only lines with quotes are parsed for it."""
+    value = F.col("value")
+    cells = F.char_length(value) - F.char_length(F.translate(value, delimiter, "")) + 1
+    parsed = F.from_csv(value, _fields(width, True), _options(delimiter)).getField(CORRUPT).isNotNull()
+    return F.when(F.contains(value, F.lit('"')), parsed).otherwise(cells != width)
+
+
+def _without_headers(text, splits, files):
+    """Lines that are records. Many files have their headers' places joined, not written into the plan."""
+    rows, heads = text.where(audits.content("value") != ""), splits.where("head IS NOT NULL").select("head")
+    if files <= LITERAL_FILES:
+        return rows.where(~F.col(audits.PLACE).isin([r[0] for r in heads.collect()]))
+    return rows.join(F.broadcast(heads), F.col(audits.PLACE) == F.col("head"), "left_anti")  # a number per file
+
+
+def _require_same_headers(text, splits, names, delimiter):
+    """The first non-empty line of every file gives the same names in the same order; one job for all files."""
+    other = splits.where("head IS NOT NULL AND NOT head <=> same").select("head")
+    lines = text.join(F.broadcast(other), F.col(audits.PLACE) == F.col("head"))
+    parsed = F.from_csv(audits.content("value"), _fields(len(names), True), _options(delimiter)).alias("r")
+    fits = F.col(f"r.{CORRUPT}").isNull()
+    for i, n in enumerate(names):
+        fits = fits & F.col(f"r.c{i}").eqNullSafe(F.lit(n))
+    if lines.select(parsed).where(~fits).limit(1).count():
+        raise TableError("HEADERS", "The files have different headers.", "Give files of one table.", row=1)
+
+
+def _require_widths(rows, splits, width, delimiter, multiline):
+    if multiline:
+        line, wrong = None, rows.where(_wrong_width(width, delimiter)).limit(1).count()
+    else:
+        line = wrong = audits.first_place(splits, "ragged")
+    if wrong:
         raise TableError("ROW_WIDTH", "Some records do not match the header.", "Fix or quarantine them.", row=line)
 
 
@@ -104,20 +131,13 @@ def _options(delimiter):
     }
 
 
-def _lines(text, heads, width, delimiter, whole):
-    """Records of one line each. Without `whole`, widths are not checked."""
-    fields = [f"c{i} string" for i in range(width)] + ([f"{CORRUPT} string"] if whole else [])
-    rows = text.where((audits.content("value") != "") & ~F.col(audits.PLACE).isin(heads))
-    return rows.select(F.from_csv("value", ", ".join(fields), _options(delimiter)).alias("r"), audits.PLACE).select("r.*", audits.PLACE)
+def _fields(width, whole):
+    return ", ".join([f"c{i} string" for i in range(width)] + ([f"{CORRUPT} string"] if whole else []))
 
 
-def _spanning(spark, path, width, delimiter, whole):
-    """Records that may go over line ends, one task per file."""
-    fields = [StructField(f"c{i}", StringType()) for i in range(width)]
-    if whole:
-        fields.append(StructField(CORRUPT, StringType()))
-    reader = spark.read.schema(StructType(fields)).options(**_options(delimiter))
-    return reader.option("header", True).option("multiLine", True).option("columnPruning", not whole).csv(path)
+def _parsed(rows, width, delimiter, whole, kept):
+    """Cells of records. Without `whole`, widths are not checked."""
+    return rows.select(F.from_csv("value", _fields(width, whole), _options(delimiter)).alias("r"), *kept).select("r.*", *kept)
 
 
 def write_delimited(df, path, delimiter=","):
