@@ -28,6 +28,22 @@ def stored(frame, purpose):
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def dropped(spark, *frames):
+    """Delete tables that `stored` wrote and nothing reads any more."""
+    for frame in frames:
+        for path in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(frame, name):
+    """A column name that the frame does not have, whatever the case of letters."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text):
     """The words of a text as bytes, A-Z in lower case (bytes know no other letters)."""
     return text.encode().lower().split() if text else []

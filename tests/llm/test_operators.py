@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tabloom.llm import (
     language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter,
@@ -302,30 +303,60 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(model.forward(["▁water"])[0, 0], math.log(total("▁water")), rel_tol=1e-9)
 
 
-def test_mixing_meets_targets(spark):
-    cells = [("a", "en", "x", 100), ("a", "de", "y", 50), ("b", "en", "y", 30), ("b", "de", "x", 20), ("b", "fr", "x", 0)]
-    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    targets = {
-        "source": spark.createDataFrame([("a", 100.0), ("b", 100.0)], "source string, want double"),
-        "lang": spark.createDataFrame([("en", 120.0), ("de", 80.0), ("fr", 0.0)], "lang string, want double"),
-        "topic": spark.createDataFrame([("x", 90.0), ("y", 110.0)], "topic string, want double"),
-    }
-    raked = mixing.rake(frame, targets, 40).collect()
-    for dimension, target in targets.items():
-        for level, want in target.collect():
-            assert math.isclose(sum(r.tokens * r.factor for r in raked if r[dimension] == level), want, abs_tol=1e-3)
-
-
-@pytest.mark.parametrize("few", [50_000, 0])
-def test_mixing_samples_alike(documents, rows, empty, few):
+MIX = [("a", "en", "x", 100), ("a", "de", "y", 50), ("b", "en", "y", 30), ("b", "de", "x", 20), ("b", "fr", "x", 0)]
+WANTED = {"source": {"a": 1, "b": 1}, "lang": {"en": 6, "de": 4}, "topic": {"x": 9, "y": 11}}
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_mixing_meets_targets_and_keeps_a_share(spark, most):
+    frame = spark.createDataFrame(MIX, "source string, lang string, topic string, tokens long")
+    # nothing is full, so the shares are those wanted; then the whole table is
+    for keep in (0.1, 1.0) if most else (0.1,):
+        found, error, few = mixing.probabilities(frame, targets=WANTED, keep=keep, most_cells=most, tolerance=1e-9 if most else 1e-4)
+        chance = {tuple(r)[:3]: r.probability for r in found.collect()}
+        assert error < 1e-4 and few == (most > 0) and max(chance.values()) <= 1
+        kept = {cell: n * chance[cell] for *cell, n in MIX for cell in [tuple(cell)]}
+        assert math.isclose(sum(kept.values()), keep * 200, rel_tol=1e-6)
+        for at, dimension in enumerate(mixing.DIMENSIONS if keep < 1 else ()):
+            for level, share in WANTED[dimension].items():
+                got = sum(v for cell, v in kept.items() if cell[at] == level)
+                assert math.isclose(got / sum(kept.values()), share / sum(WANTED[dimension].values()), abs_tol=1e-6 if most else 1e-4)
+    with pytest.raises(ValueError, match="no target"):
+        mixing.probabilities(frame, targets={"lang": {"en": 1}}, most_cells=most)
+    with pytest.raises(ValueError, match="cannot be met"):  # y needs "b", which has 30 of it
+        few_cells = frame.filter("NOT (source = 'a' AND topic = 'y')")
+        mixing.probabilities(few_cells, targets={"source": {"a": 9, "b": 1}, "topic": {"x": 1, "y": 9}}, strict=True, most_cells=most, rounds=8)
+
+
+def test_one_rare_document_does_not_set_the_scale(spark):
+    rows = [(k, "some words of text here " * 4, "en", "web" if k % 3 else "books", 0) for k in range(300)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = mixing.sample(spark.createDataFrame(rows, schema)).count()
+    more = mixing.sample(spark.createDataFrame([*rows, (900, "ONE LOUD TEXT", None, "other", 0)], schema)).count()
+    assert abs(plain - 225) < 25 and abs(more - plain) < 15
+
+
+def test_scale_against_bisection():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        tokens, factor = rng.integers(0, 100, 12), rng.lognormal(0, 3, 12)
+        for keep in (0.0, 0.3, 0.9, 1.0):
+            c = mixing.scale_of(tokens, factor, keep)
+            assert math.isclose((tokens * np.minimum(1, c * factor)).sum(), keep * tokens.sum(), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_mixing_samples_alike(documents, rows, empty):
     got = mixing.mixed(documents).collect()
-    assert len(got) == len(rows) and all(0 <= r.probability <= 1 for r in got) and max(r.probability for r in got) == 1
-    draw = lambda i: int(hashlib.md5(f"{'' if i is None else i}:mix".encode()).hexdigest()[:8], 16) / 2**32
-    assert all(r.kept == (draw(r.doc_id) < r.probability) for r in got)
-    kept = mixing.sample(documents, broadcast_cells=few)
-    assert kept.columns == documents.columns
-    assert ordered((r.doc_id,) for r in kept.collect()) == ordered((r.doc_id,) for r in got if r.kept)
-    assert mixing.mixed(empty).count() == 0 and mixing.sample(empty).count() == 0
+    assert len(got) == len(rows) and all(0 <= r.probability <= 1 for r in got)
+    chosen = Counter(r.doc_id for r in got if r.kept)
+    kept = mixing.sample(documents)
+    assert kept.columns == documents.columns and Counter(r.doc_id for r in kept.collect()) == chosen
+    tokens = sum(r.tokens for r in got)
+    assert abs(sum(r.tokens * r.probability for r in got) - mixing.KEEP * tokens) < 0.001 * tokens
+    assert mixing.mixed(empty).count() == 0 and mixing.sample(empty, most_cells=-1).count() == 0
+    named = documents.withColumns({"mixing_source": F.lit("own"), "Mixing_Probability": F.lit(0.1)})
+    assert mixing.sample(named).columns == named.columns and {r.mixing_source for r in mixing.sample(named).collect()} == {"own"}
+
 
 
 def counts_plain(text):
