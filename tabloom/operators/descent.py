@@ -4,13 +4,17 @@ Updating after every single row is sequential by nature. Here each epoch is one
 aggregation over all rows and one update, which gives the same result on any cluster.
 """
 
+import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tabloom.contracts import SEED
 from tabloom.functions.names import col
 from tabloom.operators.lloyd import require_finite, require_numeric
-from tabloom.operators.rows import spread
+from tabloom.operators.newton import matrix, summed
+from tabloom.operators.rows import row_hash, spread
 
 # Bounds of the exponent and of the probabilities inside the loss.
 EXPONENT_LIMIT = 500.0
@@ -90,3 +94,68 @@ class GradientLogistic:
             raise ValueError("The fitted columns are missing")
         p = probability(self.columns, self.weights, self.bias)
         return df.withColumn("probability", p).withColumn(output, (F.col("probability") >= THRESHOLD).cast("int"))
+
+
+@dataclass
+class LocalLogistic:
+    """Logistic regression by an update per row, as fast as the cluster allows.
+
+    The rows of each task are put in seeded order once. In an epoch every task goes through its rows from the same weights, one update
+    each, and the weights that come out are averaged by rows. On one task this is plain stochastic descent.
+    """
+
+    learning_rate: float = 0.01
+    epochs: int = 10
+    seed: int = SEED
+    tasks: int | None = None
+    columns: list = field(default=None, init=False)
+    theta: list = field(default=None, init=False)
+    loss_history: list = field(default_factory=list, init=False)
+
+    def fit(self, df, row_id, columns, label):
+        self.columns = list(columns)
+        require_numeric(df, [*self.columns, label])
+        x = F.array(F.lit(1.0), *[col(c).cast("double") for c in columns])
+        rows = df.select(x.alias("x"), col(label).cast("double").alias("y"), row_hash(col(row_id), self.seed).alias("order"))
+        rows = rows.repartition(self.tasks, "order") if self.tasks else rows
+        data = rows.sortWithinPartitions("order").select("x", "y").persist()
+        try:
+            if not data.agg(F.bool_and(F.col("y").isin(0.0, 1.0) & F.forall("x", lambda v: F.abs(v) < float("inf")))).first()[0]:
+                raise ValueError("Labels are 0 and 1, inputs finite, and there are rows")
+            self.theta, self.loss_history = np.zeros(len(self.columns) + 1), []
+            for _ in range(self.epochs):
+                found = summed(data.mapInArrow(self._epoch(self.theta.copy()), "v array<double>"))
+                self.loss_history.append(found[1] / found[0])
+                self.theta = found[2:] / found[0]
+        finally:
+            data.unpersist()
+        return self
+
+    def _epoch(self, start):
+        rate = self.learning_rate
+
+        def go(batches):
+            import pyarrow as pa
+
+            theta, n, loss = start.copy(), 0, 0.0
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x, y = matrix(batch.column("x")), batch.column("y").to_numpy()
+                p = 1 / (1 + np.exp(-np.clip(x @ start, -EXPONENT_LIMIT, EXPONENT_LIMIT)))  # the loss before this epoch
+                p = np.clip(p, PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR)
+                loss -= (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+                for row, target in zip(x, y):
+                    z = min(max(float(row @ theta), -EXPONENT_LIMIT), EXPONENT_LIMIT)
+                    theta -= rate * (1 / (1 + math.exp(-z)) - target) * row
+                n += len(x)
+            yield pa.RecordBatch.from_pydict({"v": [np.concatenate([[n, loss], theta * n])]})
+
+        return go
+
+    def predict(self, df, output="prediction"):
+        """Probability and class of every row; exactly one half counts as class one."""
+        if self.theta is None:
+            raise RuntimeError("Fit first")
+        p = probability(self.columns, self.theta[1:], self.theta[0])
+        return df.withColumn("probability", p).withColumn(output, (F.col("probability") >= THRESHOLD).cast("int"))

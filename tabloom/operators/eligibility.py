@@ -35,6 +35,10 @@ REASONS = {
     "FEATURE_TYPE": "Read this column as another type before using it as input.",
     "NUMBER_ONLY": "This task takes Number inputs only.",
     "REVIEW": "Many categories or long text: look before selecting.",
+    "NO_INPUT": "This column cannot be an input.",
+    "TOO_FEW_INPUTS": "PCA needs two Number inputs or more.",
+    "NO_OPTION": "Supervised tasks take no option.",
+    "OPTION_RANGE": "The option is a whole number within the bounds of this table.",
     "GOAL_TARGET": "No complete, varying target with a usable input.",
     "GOAL_ROWS": "Too few rows for this task.",
     "GOAL_FEATURES": "Too few varying Number columns for this task.",

@@ -155,6 +155,33 @@ def mean_baseline(train, test, label="label"):
     return regression_metrics(scored, label, "__mean").select(F.lit(mean).alias("mean"), "mae", "rmse", "r2")
 
 
+def evaluation_gates(scored, label="label", prediction="prediction"):
+    """One row per rule that scored numbers must keep: code and the rows that break it; EMPTY counts one if there are no rows.
+
+    MISSING: label or prediction is null; NOT_FINITE: one of them is no finite number; OVERFLOW: both are finite, but not
+    the square of their difference.
+    """
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+
+    def finite(c):
+        return F.abs(c) < float("inf")
+
+    gap = y - p
+    rules = {
+        "EMPTY": F.when(F.count("*") == 0, 1).otherwise(0), "MISSING": F.count_if(y.isNull() | p.isNull()),
+        "NOT_FINITE": F.count_if(~finite(y) | ~finite(p)), "OVERFLOW": F.count_if(finite(y) & finite(p) & ~finite(gap * gap)),
+    }
+    row = scored.agg(*[c.cast("bigint").alias(k) for k, c in rules.items()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("code"), F.col(k).alias("rows")) for k in rules])))
+
+
+def require_evaluable(scored, label="label", prediction="prediction"):
+    """Fail with the first gate that some row does not pass."""
+    broken = [r["code"] for r in evaluation_gates(scored, label, prediction).collect() if r["rows"]]
+    if broken:
+        raise TableError("EVALUATION", f"The scored rows cannot be evaluated: {', '.join(broken)}.", "Try another model.")
+
+
 # Clustering.
 
 def equal_width(df, features="features"):
@@ -224,5 +251,18 @@ def cluster_sizes(df, cluster="prediction"):
     return df.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"))
 
 
+def cluster_summary(assigned, prep, state, cluster="cluster"):
+    """One row per cluster and input: n, name, center in the input's own units, and the fit's inertia and iterations."""
+    rows = []
+    for c, center in enumerate(state["centers"]):
+        for number, value in zip(prep.numbers, center):
+            own = value * number.deviation + number.mean if prep.scale else value
+            rows.append((c, number.shown, float(own), float(state["inertia"]), int(state["iterations"])))
+        rows += [(c, n, float(v), float(state["inertia"]), int(state["iterations"]))
+                 for n, v in zip(prep.feature_names[len(prep.numbers):], center[len(prep.numbers):])]
+    centers = assigned.sparkSession.createDataFrame(rows, "cluster int, name string, center double, inertia double, iterations int")
+    return centers.join(cluster_sizes(assigned, cluster), "cluster", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def metric(key, value, reason=None):
     return Metric(key, None if value is None else float(value), reason)

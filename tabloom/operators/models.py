@@ -1,18 +1,15 @@
 """The six models. Each fit takes encoded rows and returns a small fitted record."""
 
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     LogisticRegression,
-    LogisticRegressionModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     LinearRegression,
@@ -25,6 +22,8 @@ from pyspark.sql import functions as F
 from tabloom.contracts import SEED, Task
 from tabloom.errors import TableError
 from tabloom.operators.components import principal_axes, vector_covariance
+from tabloom.operators.newton import NARROW, newton_logistic
+from tabloom.operators.starts import best_of_starts
 
 # The parameters of the models.
 INVERSE_PENALTY = 1.0
@@ -76,7 +75,7 @@ def models_for(task):
 
 @dataclass
 class FittedModel:
-    """`ml` is the fitted Spark model; PCA keeps plain arrays in `state` instead."""
+    """`ml` is the fitted Spark model of a forest or line; the others keep plain arrays in `state`."""
 
     id: str
     labels: tuple = ()
@@ -89,11 +88,13 @@ class FittedModel:
         task = model_spec(self.id).task
         if task == Task.REDUCTION:
             return df.withColumn("components", project(vector_to_array(features), self.state))
-        scored = self.ml.transform(df)
         if task == Task.CLUSTERING:
-            return scored.withColumnRenamed("prediction", "cluster")
+            return df.withColumn("cluster", nearest(vector_to_array(features), self.state["centers"]))
+        names = F.array(*[F.lit(x) for x in self.labels])
+        if self.ml is None:
+            return df.withColumn("prediction", F.element_at(names, most_likely(vector_to_array(features), self.state["weights"]) + 1))
+        scored = self.ml.transform(df)
         if task == Task.CLASSIFICATION:
-            names = F.array(*[F.lit(x) for x in self.labels])
             scored = scored.withColumn("prediction", F.element_at(names, F.col("prediction").cast("int") + 1))
         return scored.drop("rawPrediction", "probability")
 
@@ -117,6 +118,19 @@ def back_project(components, state):
     ])
 
 
+def most_likely(x, weights):
+    """Number of the class with the largest score, the first among equals; one row of weights compares with a score of zero."""
+    scores = [_dot(x, w[1:]) + F.lit(float(w[0])) for w in weights]
+    scores = F.array(*([F.lit(0.0)] if len(scores) == 1 else []), *scores)
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def nearest(x, centers):
+    """Number of the nearest centre, the first among equals."""
+    far = F.array(*[F.lit(float(np.dot(c, c))) - 2 * _dot(x, c) for c in centers])
+    return (F.array_position(far, F.array_min(far)) - 1).cast("int")
+
+
 def label_index(label, labels):
     """Position of a label in the ordered label list; at most twenty comparisons."""
     index = F.when(F.lit(False), F.lit(0.0))
@@ -143,15 +157,21 @@ def _indexed(encoded, labels):
 
 
 def _logistic(encoded, option, labels, seed):
-    # The estimator averages the loss over rows, hence the penalty is divided by them.
-    rows = encoded.count()
-    model = LogisticRegression(
-        regParam=1.0 / (INVERSE_PENALTY * rows), elasticNetParam=0.0, standardization=False,
-        maxIter=LOGISTIC_ITERATIONS,
-    ).fit(_indexed(encoded, labels))
-    if model.summary.totalIterations >= LOGISTIC_ITERATIONS:
+    rows = _indexed(encoded, labels)
+    width = len(encoded.first()["features"]) + 1
+    if (1 if len(labels) == 2 else len(labels)) * width <= NARROW:
+        x = rows.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"))
+        weights, _ = newton_logistic(x, len(labels), 1.0 / INVERSE_PENALTY)
+    else:
+        # This estimator averages the loss over rows, hence the penalty is divided by them.
+        model = LogisticRegression(
+            regParam=1.0 / (INVERSE_PENALTY * rows.count()), elasticNetParam=0.0, standardization=False, maxIter=LOGISTIC_ITERATIONS,
+        ).fit(rows)
+        stopped = model.summary.totalIterations >= LOGISTIC_ITERATIONS
+        weights = None if stopped else np.column_stack([model.interceptVector.toArray(), model.coefficientMatrix.toArray()])
+    if weights is None:
         raise TableError("CONVERGENCE", "The candidate did not converge.", "Try another model.")
-    return FittedModel("classification.logistic", labels, model)
+    return FittedModel("classification.logistic", labels, None, {"weights": weights.tolist()})
 
 
 def _classifier_forest(encoded, option, labels, seed):
@@ -179,22 +199,15 @@ def _regressor_forest(encoded, option, labels, seed):
 
 def _kmeans(encoded, option, labels, seed):
     k = DEFAULT_GROUPS if option is None else option
-    data = encoded.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    x = vector_to_array("features")
+    data = encoded.select(x.alias("x"), F.xxhash64(x).alias("key")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # The starts are independent, so their jobs share the cluster.
-        with ThreadPool(KMEANS_STARTS) as pool:
-            tries = pool.map(
-                lambda i: KMeans(k=k, maxIter=KMEANS_ITERATIONS, seed=seed + i).fit(data), range(KMEANS_STARTS)
-            )
-        best = min(tries, key=lambda m: m.summary.trainingCost)
-        formed = best.transform(data).agg(F.countDistinct("prediction")).first()[0]
+        centers, inertia, iterations, sizes = best_of_starts(data, k, KMEANS_STARTS, KMEANS_ITERATIONS, seed)
     finally:
         data.unpersist()
-    if formed != k:
+    if not all(sizes):
         raise TableError("CLUSTERS", "Fewer groups were formed than requested.", "Choose fewer groups.")
-    state = {"inertia": best.summary.trainingCost, "iterations": best.summary.numIter,
-             "centers": [c.tolist() for c in best.clusterCenters()]}
-    return FittedModel("clustering.kmeans", (), best, state)
+    return FittedModel("clustering.kmeans", (), None, {"inertia": inertia, "iterations": iterations, "centers": centers.tolist()})
 
 
 def _pca(encoded, option, labels, seed):
@@ -212,9 +225,7 @@ def _pca(encoded, option, labels, seed):
 
 
 LOADERS = {
-    "classification.logistic": LogisticRegressionModel,
     "classification.forest": RandomForestClassificationModel,
     "regression.linear": LinearRegressionModel,
     "regression.forest": RandomForestRegressionModel,
-    "clustering.kmeans": KMeansModel,
 }

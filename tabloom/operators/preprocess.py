@@ -12,6 +12,7 @@ from tabloom.errors import TableError
 from tabloom.functions.interpret import marked
 from tabloom.functions.names import col
 from tabloom.operators.selection import exact_medians
+from tabloom.sources.scratch import scratch_directory
 
 # The widest encoding of one category column and of a whole table.
 MAX_CATEGORIES = 32
@@ -28,6 +29,11 @@ class NumberState:
     mean: float
     deviation: float
     all_missing: bool = False
+    label: str | None = None
+
+    @property
+    def shown(self):
+        return self.label or self.name
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,11 @@ class CategoryState:
     kept: tuple[str, ...]
     shared: bool
     size: int
+    label: str | None = None
+
+    @property
+    def shown(self):
+        return self.label or self.name
 
     @property
     def width(self):
@@ -57,15 +68,15 @@ class Preprocessor:
 
     @property
     def feature_names(self):
-        names = [n.name for n in self.numbers]
+        names = [n.shown for n in self.numbers]
         for c in self.categories:
-            names += [f"{c.name}={v}" for v in c.kept]
-            names += [f"{c.name}=*"] if c.shared else []
+            names += [f"{c.shown}={v}" for v in c.kept]
+            names += [f"{c.shown}=*"] if c.shared else []
         return names
 
     @property
     def notes(self):
-        return tuple(f"TRAIN_ALL_MISSING:{n.name}" for n in self.numbers if n.all_missing)
+        return tuple(f"TRAIN_ALL_MISSING:{n.shown}" for n in self.numbers if n.all_missing)
 
 
 def feature_limit(types):
@@ -117,8 +128,12 @@ def frequent_categories(counts, limit=MAX_CATEGORIES):
     return top.join(counts.groupBy("field").agg(F.count("*").alias("size")), "field")
 
 
-def fit_preprocessor(train, types, scale):
-    """Learn from the typed training rows `train`; `types` gives the fields in order."""
+def fit_preprocessor(train, types, scale, labels=None):
+    """Learn from the typed training rows `train`; `types` gives the fields in order, `labels` the names users know them by.
+
+    The vocabulary is written once, so that scoring never counts training rows again.
+    """
+    labels = {n: n for n in types} | (labels or {})
     feature_limit(types)
     numbers = [n for n, t in types.items() if t == ColumnType.NUMBER]
     names = [n for n, t in types.items() if t in (ColumnType.CATEGORY, ColumnType.BOOLEAN)]
@@ -126,10 +141,12 @@ def fit_preprocessor(train, types, scale):
         raise TableError("INPUT_SCHEMA", "Inputs must be Number, Category or Boolean.", "Choose other inputs.")
     medians, empty = impute_medians(train, numbers)
     scales = scaling(train, medians)
-    number_states = tuple(NumberState(n, medians[n], *scales[n], n in empty) for n in numbers)
+    number_states = tuple(NumberState(n, medians[n], *scales[n], n in empty, labels[n]) for n in numbers)
     if not names:
         return Preprocessor(number_states, (), scale)
-    counts = category_counts(train, names)
+    path = scratch_directory(train.sparkSession, "vocabulary")
+    category_counts(train, names).write.parquet(path)
+    counts = train.sparkSession.read.parquet(path)
     tops = {i: [] for i in range(len(names))}
     sizes = {}
     for r in frequent_categories(counts).collect():
@@ -140,8 +157,8 @@ def fit_preprocessor(train, types, scale):
         values = [v for _, v in sorted(tops[i])]
         shared = sizes.get(i, 0) > MAX_CATEGORIES
         kept = values[: MAX_CATEGORIES - 1] if shared else values
-        states.append(CategoryState(name, tuple(sorted(kept)), shared, sizes.get(i, 0)))
-    by_name = F.array(*[F.lit(n) for n in names])
+        states.append(CategoryState(name, tuple(sorted(kept)), shared, sizes.get(i, 0), labels[name]))
+    by_name = F.array(*[F.lit(labels[n]) for n in names])
     vocabulary = counts.select(F.element_at(by_name, F.col("field") + 1).alias("field"), "value")
     return Preprocessor(number_states, tuple(states), scale, vocabulary)
 
@@ -157,7 +174,7 @@ def with_known_flags(df, prep):
         if not state.shared:
             df = df.withColumn(known_flag(state.name), value.isin(*state.kept) if state.kept else F.lit(False))
             continue
-        words = prep.vocabulary.where(F.col("field") == state.name).select(F.col("value").alias("__value"))
+        words = prep.vocabulary.where(F.col("field") == state.shown).select(F.col("value").alias("__value"))
         if state.size <= LITERAL_VOCABULARY:
             literals = [r[0] for r in words.collect()]
             df = df.withColumn(known_flag(state.name), value.isin(*literals))

@@ -22,7 +22,7 @@ from tabloom.functions.interpret import (
     to_date,
     to_number,
 )
-from tabloom.functions.names import col
+from tabloom.functions.names import by_place, col
 
 # Which names look like identifiers, and the limits behind each warning.
 IDENTIFIER_NAMES = ("id", "uuid", "guid", "identifier")
@@ -341,5 +341,8 @@ def collect_schema(profiled, revision=0, fingerprint=None):
 
 
 def infer_schema(df, row_id, fingerprint=None):
-    """Profile every column over all rows and collect the result."""
-    return collect_schema(profile(column_facts(df, row_id)), fingerprint=fingerprint)
+    """Profile every column over all rows and collect the result. Names may differ by case only."""
+    placed, place = by_place(df)
+    back = F.create_map(*[F.lit(x) for n, c in place.items() for x in (c, n)])
+    facts = column_facts(placed, place[row_id]).withColumn("name", back[F.col("name")])
+    return collect_schema(profile(facts), fingerprint=fingerprint)

@@ -40,27 +40,3 @@ def rank_candidates(results):
         )
         .drop("candidates")
     )
-
-
-def ranked(task, candidates):
-    """The same ranking for collected candidate records."""
-    task = Task(task)
-
-    def value(candidate, key):
-        return next((m.value for m in candidate.metrics if m.key == key), None)
-
-    needed = {Task.CLASSIFICATION: ("macro_f1", "accuracy"), Task.REGRESSION: ("mae",)}.get(task, ())
-    valid = [
-        c for c in candidates
-        if c.status == "completed" and c.task == task
-        and all(value(c, k) is not None and abs(value(c, k)) < float("inf") for k in needed)
-    ]
-    sign = -1 if task == Task.CLASSIFICATION else 1
-    return sorted(valid, key=lambda c: (*[sign * value(c, k) for k in needed], c.model))
-
-
-def recommendation(task, candidates):
-    order = ranked(task, candidates)
-    if not Task(task).supervised or not order:
-        return None
-    return order[0].model, "ONLY_COMPLETED" if len(order) == 1 else "BEST_ON_TEST"

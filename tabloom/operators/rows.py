@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from tabloom.contracts import SEED
 from tabloom.functions.names import col
+from tabloom.sources.scratch import kept
 
 
 #: Rows of the block table, one per file block, that may be sent to all tasks.
@@ -27,7 +28,7 @@ def with_file_order(df, name="row_id", broadcast_blocks=BROADCAST_BLOCKS):
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__place"),
     )
-    blocks = placed.groupBy("__path", "__block").agg(F.count("*").alias("rows"), F.min("__place").alias("__first")).persist()
+    blocks = kept(placed.groupBy("__path", "__block").agg(F.count("*").alias("rows"), F.min("__place").alias("__first")), "blocks")
     before = Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
         "__path", "__block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__base"),

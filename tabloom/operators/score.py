@@ -4,7 +4,8 @@ Everything is a projection over the input, so the same plan scores batches of an
 and streams.
 """
 
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ class FieldState:
     type: str
     minimum: float | None = None
     maximum: float | None = None
+    label: str | None = None
+
+    @property
+    def shown(self):
+        return self.label or self.name
 
 
 @dataclass
@@ -49,7 +55,17 @@ class Scorer:
 
     @property
     def inputs(self):
-        return [f.name for f in self.fields]
+        return [f.shown for f in self.fields]
+
+    def numbered(self):
+        """The same scorer for columns called c0, c1, ..., so that no working column can clash with an input."""
+        ids = {f.name: f"c{i}" for i, f in enumerate(self.fields)}
+
+        def named(states):
+            return tuple(replace(s, name=ids[s.name], label=s.shown) for s in states)
+
+        prep = replace(self.preprocessor, numbers=named(self.preprocessor.numbers), categories=named(self.preprocessor.categories))
+        return Scorer(named(self.fields), prep, self.model, self.metadata)
 
 
 def fitted_ranges(train, types):
@@ -64,9 +80,9 @@ def fitted_ranges(train, types):
     return {n: (row[f"l{i}"], row[f"h{i}"]) for i, n in enumerate(numbers)}
 
 
-def fitted_fields(train, types):
+def fitted_fields(train, types, labels=None):
     ranges = fitted_ranges(train, types)
-    return tuple(FieldState(n, str(t), *ranges.get(n, (None, None))) for n, t in types.items())
+    return tuple(FieldState(n, str(t), *ranges.get(n, (None, None)), (labels or {}).get(n)) for n, t in types.items())
 
 
 def fitted_schema(fields, preprocessor, spark):
@@ -75,7 +91,7 @@ def fitted_schema(fields, preprocessor, spark):
     One row per field and category value; a Number field has a single row.
     """
     rows = spark.createDataFrame(
-        [(i, f.name, f.type, f.minimum, f.maximum) for i, f in enumerate(fields)],
+        [(i, f.shown, f.type, f.minimum, f.maximum) for i, f in enumerate(fields)],
         "position int, name string, type string, minimum double, maximum double",
     )
     if preprocessor.vocabulary is None:
@@ -123,7 +139,7 @@ def read_inputs(df, fields):
             text = kind == "string"
             read = value if text else F.lit(None).cast("string")
             code, bad = F.lit("CATEGORY_TEXT_REQUIRED"), (F.lit(False) if text else present)
-        errors.append(F.when(bad, F.struct(code.alias("code"), F.lit(f.name).alias("field"))))
+        errors.append(F.when(bad, F.struct(code.alias("code"), F.lit(f.shown).alias("field"))))
         typed[f.name] = read
     return df.withColumn("errors", F.array_compact(F.array(*errors))).withColumns(typed)
 
@@ -139,7 +155,7 @@ def input_warnings(typed, fields, preprocessor):
             chain = chain.when((value < f.minimum) | (value > f.maximum), "OUTSIDE_TRAINING_RANGE")
         elif f.name in categories:
             chain = chain.when(~col(known_flag(f.name)), "UNKNOWN_CATEGORY")
-        notes.append(F.struct(chain.alias("code"), F.lit(f.name).alias("field")))
+        notes.append(F.struct(chain.alias("code"), F.lit(f.shown).alias("field")))
     texts = F.create_map(*[F.lit(x) for pair in WARNINGS.items() for x in pair])
     listed = F.filter(F.array(*notes), lambda n: n["code"].isNotNull())
     return typed.withColumn(
@@ -151,25 +167,32 @@ def input_warnings(typed, fields, preprocessor):
 def score(scorer, df, keep=(), strict=True):
     """Predictions and warnings for every row of a batch or streaming DataFrame.
 
-    The input has exactly the fitted fields plus the columns in `keep`, which pass
-    through; the first of them names a record in errors. With `strict`, one unusable value stops the whole job; otherwise such rows
+    The input has exactly the fitted fields plus the columns in `keep`, which pass through; the first of them names a record
+    in errors. Names may be anything, also those of working and output columns, and may differ by case only; a kept column cannot be
+    called like an output. With `strict`, one unusable value stops the whole job; otherwise such rows
     come out with `errors` filled and no prediction.
     """
-    if set(df.columns) != set(scorer.inputs) | set(keep):
-        raise TableError("FIELD_NAMES", "Give exactly the fitted input fields.", "Compare with the fitted schema.")
-    typed = read_inputs(df, scorer.fields)
-    typed = with_known_flags(typed, scorer.preprocessor)
-    typed = input_warnings(typed, scorer.fields, scorer.preprocessor)
-    result = scorer.model.apply(encode(typed, scorer.preprocessor))
     output = {Task.CLUSTERING: "cluster", Task.REDUCTION: "components"}.get(scorer.task, "prediction")
+    added = [output, "warnings"] + ([] if strict else ["errors"])
+    if Counter(df.columns) != Counter({*scorer.inputs, *keep}) or {k.lower() for k in keep} & set(added):
+        raise TableError("FIELD_NAMES", "Give exactly the fitted input fields.", "Compare with the fitted schema.")
+    inner, place = scorer.numbered(), {n: f"s{i}" for i, n in enumerate(df.columns)}
+    kept = [f"k{i}" for i in range(len(keep))]
+    # By position, since names that differ by case only cannot be told apart otherwise.
+    flat = df.toDF(*place.values()).select(
+        *[F.col(place[f.shown]).alias(f.name) for f in inner.fields], *[F.col(place[k]).alias(i) for i, k in zip(kept, keep)]
+    )
+    typed = with_known_flags(read_inputs(flat, inner.fields), inner.preprocessor)
+    typed = input_warnings(typed, inner.fields, inner.preprocessor)
+    result = inner.model.apply(encode(typed, inner.preprocessor))
     valid = F.size("errors") == 0
+    value = F.when(valid, F.col(output))
     if strict:
         first = F.element_at("errors", 1)
-        record = F.concat(F.lit("record "), F.coalesce(col(keep[0]).cast("string"), F.lit("?")), F.lit(": ")) if keep else F.lit("")
+        record = F.concat(F.lit("record "), F.coalesce(F.col(kept[0]).cast("string"), F.lit("?")), F.lit(": ")) if kept else F.lit("")
         stop = F.raise_error(F.concat(record, first["code"], F.lit(": "), first["field"]))
-        value = F.when(valid, F.col(output)).otherwise(stop.cast(result.schema[output].dataType))
-        return result.select(*[col(k) for k in keep], value.alias(output), "warnings")
-    return result.select(*[col(k) for k in keep], F.when(valid, F.col(output)).alias(output), "warnings", "errors")
+        value = value.otherwise(stop.cast(result.schema[output].dataType))
+    return result.select(*kept, value.alias(output), *added[1:]).toDF(*keep, *added)
 
 
 def predict_many(scorer, df, keep=(), strict=True):
@@ -191,8 +214,8 @@ def probe_rows(df, fields, known):
     known value of its field, so it cannot be one of them. The unseen row copies the
     first observed row by value order and only exists when there are category fields.
     """
-    names = [f.name for f in fields]
-    categories = [f.name for f in fields if f.type == ColumnType.CATEGORY]
+    names = [f.shown for f in fields]
+    categories = [f.shown for f in fields if f.type == ColumnType.CATEGORY]
     observed = df.select(*[col(n) for n in names], F.lit("observed").alias("probe"))
     spark = df.sparkSession
     missing = spark.range(1).select(

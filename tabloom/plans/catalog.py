@@ -33,6 +33,7 @@ def load():
         algorithm_queries,
         eligibility_queries,
         evaluation_queries,
+        experiment_queries,
         model_queries,
         profile_queries,
         scoring_queries,

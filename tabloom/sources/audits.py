@@ -4,20 +4,24 @@ Every audit reports counts and positions; none returns cell values.
 """
 
 import re
-import unicodedata
+from collections import Counter
 
 import pandas as pd
+import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.errors import TableError
 from tabloom.functions.interpret import raw_of
+from tabloom.sources.scratch import kept
 
 # Optional limits on headers and cells.
 MAX_HEADER = 128
 MAX_CELL = 4_096
 
 BOM = "\ufeff"
+#: Characters of the general category "other": controls, formats, surrogates, private and unassigned ones.
+CONTROL = regex.compile(r"\p{C}")
 
 
 def lines(spark, path):
@@ -222,24 +226,27 @@ def quoting_report(spark, path, delimiter=","):
 
 def quoting_audit(spark, path, delimiter=","):
     """(line number of the first malformed record or None, whether any record spans lines), by file order."""
-    report = quoting_report(spark, path, delimiter).persist()  # one row per file
+    report = kept(quoting_report(spark, path, delimiter), "quoting")  # one row per file
     broken = report.where("line IS NOT NULL").orderBy("file").select("line").first()
     spans = report.agg(F.coalesce(F.bool_or("spans"), F.lit(False))).first()[0]
-    report.unpersist()
     return (broken[0] if broken else None), spans
 
 
+def header_faults(names):
+    """(code, text) of every rule that some header breaks."""
+    rules = {
+        ("HEADERS", "Every column needs a name."): [n for n in names if not n.strip()] if names else [None],
+        ("HEADERS", "Column names must differ."): [n for n, times in Counter(names).items() if times > 1],
+        ("DATA_LIMIT", f"A column name has more than {MAX_HEADER} characters."): [n for n in names if len(n) > MAX_HEADER],
+        ("HEADERS", "Column names cannot hold control characters."): [n for n in names if CONTROL.search(n)],
+    }
+    return [rule for rule, broken_by in rules.items() if broken_by]
+
+
 def require_headers(names):
     """Headers are present, unique, short and free of control characters."""
-    if not names or any(not n.strip() for n in names):
-        raise TableError("HEADERS", "Every column needs a name.", "Fix the header.", row=1)
-    if len(set(names)) != len(names):
-        raise TableError("HEADERS", "Column names must differ.", "Fix the header.", row=1)
-    for n in names:
-        if len(n) > MAX_HEADER:
-            raise TableError("DATA_LIMIT", f"A column name has more than {MAX_HEADER} characters.", "Fix the header.", row=1)
-        if any(unicodedata.category(ch).startswith("C") for ch in n):
-            raise TableError("HEADERS", "Column names cannot hold control characters.", "Fix the header.", row=1)
+    for code, text in header_faults(names):
+        raise TableError(code, text, "Fix the header.", row=1)
 
 
 def require_rows(df):

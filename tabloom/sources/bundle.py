@@ -5,12 +5,14 @@ metadata row. It holds no data rows. All files go through Spark's own writers, s
 shared file system will do.
 """
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
 from tabloom.contracts import SEED, ColumnType
 from tabloom.errors import TableError
+from tabloom.functions.names import col
 from tabloom.operators.models import LOADERS, FittedModel, model_spec
 from tabloom.operators.preprocess import CategoryState, NumberState, Preprocessor
 from tabloom.operators.score import FieldState, Scorer
@@ -18,12 +20,20 @@ from tabloom.operators.score import FieldState, Scorer
 VERSION = 1
 
 
-def files_digest(spark, path):
-    """SHA-256 over the digests of all files below a directory, in name order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    digests = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("p"), F.sha2("content", 256).alias("h"))
-    listed = digests.agg(F.sort_array(F.collect_list(F.concat("p", F.lit(" "), "h"))).alias("all"))
-    return listed.select(F.sha2(F.array_join("all", "\n"), 256)).first()[0]
+def stored_digest(spark, path):
+    """Digest of all rows stored below a directory, whatever their order, files or tasks.
+
+    Each folder of Parquet or text files is read as a table; its rows' digests are added up, so no file is held whole.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    names = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.col("path").endswith(".parquet").alias("parquet"))
+    parts = []
+    for folder, parquet in sorted(map(tuple, names.distinct().collect())):  # a few folders per bundle
+        table = spark.read.parquet(folder) if parquet else spark.read.text(folder)
+        number = F.conv(F.substring(F.sha2(F.to_json(F.struct(*map(col, sorted(table.columns)))), 256), 1, 15), 16, 10).cast("decimal(28,0)")
+        row = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).alias("sum")).first()
+        parts.append((folder.rsplit("/", 1)[-1], row["n"], str(row["sum"]), sorted(table.columns)))
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
 
 def _state(scorer):
@@ -66,7 +76,7 @@ def save_bundle(spark, scorer, directory, **metadata):
         "seed": SEED,
         "notes": list(scorer.preprocessor.notes) + list(scorer.model.notes),
         **metadata,
-        "digests": {part: files_digest(spark, f"{directory}/{part}") for part in _parts(scorer)},
+        "digests": {part: stored_digest(spark, f"{directory}/{part}") for part in _parts(scorer)},
     }
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "metadata string").coalesce(1).write.parquet(
         f"{directory}/metadata"
@@ -86,7 +96,7 @@ def load_bundle(spark, directory):
     if spec is None or meta.get("task") != spec.task.value:
         raise TableError("TASK_MISMATCH", "Model and task of the bundle do not agree.", "Fit and save again.")
     for part, digest in meta["digests"].items():
-        if files_digest(spark, f"{directory}/{part}") != digest:
+        if stored_digest(spark, f"{directory}/{part}") != digest:
             raise TableError("HASH_MISMATCH", "Files of the bundle changed after saving.", "Fit and save again.")
     state = json.loads(spark.read.parquet(f"{directory}/schema").first()["state"])
     if state.get("version") != VERSION:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.errors import TableError
 from tabloom.sources import audits
 from tabloom.sources.records import spanning_records
+from tabloom.sources.scratch import kept
 
 CORRUPT = "__malformed"
 #: Files whose headers' places may be literals of the plan.
@@ -51,7 +52,7 @@ def read_delimited(spark, path, delimiter=",", multiline=None, malformed="fail",
     first = _first_line(spark, path)
     names = _names(first, delimiter)
     text = audits.with_place(spark.read.text(path))
-    splits = audits.split_summary(text, first, _wrong_width(len(names), delimiter) if audit else None).persist()  # one row per split
+    splits = kept(audits.split_summary(text, first, _wrong_width(len(names), delimiter) if audit else None), "splits")  # one row per split
     facts = splits.agg(
         F.bool_or("quotes").alias("quotes"), F.bool_or("odd").alias("odd"), F.sum("filled").alias("filled"),
         F.count("head").alias("heads"), F.count_if(~F.col("head").eqNullSafe(F.col("same")) & F.col("head").isNotNull()).alias("others"),
@@ -76,15 +77,15 @@ def read_delimited(spark, path, delimiter=",", multiline=None, malformed="fail",
         if places:
             file, block = F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block")
             rows = rows.select("value", file, block, F.monotonically_increasing_id().alias("__place"))
-    kept = ["__path", "__block", "__place"] if places else []
+    more = ["__path", "__block", "__place"] if places else []
     cells = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
     if malformed == "quarantine":
-        return _parsed(rows, len(names), delimiter, True, kept).select(*cells, CORRUPT, *kept)
+        return _parsed(rows, len(names), delimiter, True, more).select(*cells, CORRUPT, *more)
     if audit:
         _require_widths(rows, splits, len(names), delimiter, multiline)
         if facts["filled"] <= facts["heads"]:
             raise TableError("NO_DATA", "The table has no records.", "Choose a table with data.")
-    return _parsed(rows, len(names), delimiter, False, kept).select(*cells, *kept)
+    return _parsed(rows, len(names), delimiter, False, more).select(*cells, *more)
 
 
 def _wrong_width(width, delimiter):
@@ -135,9 +136,9 @@ def _fields(width, whole):
     return ", ".join([f"c{i} string" for i in range(width)] + ([f"{CORRUPT} string"] if whole else []))
 
 
-def _parsed(rows, width, delimiter, whole, kept):
+def _parsed(rows, width, delimiter, whole, more):
     """Cells of records. Without `whole`, widths are not checked."""
-    return rows.select(F.from_csv("value", _fields(width, whole), _options(delimiter)).alias("r"), *kept).select("r.*", *kept)
+    return rows.select(F.from_csv("value", _fields(width, whole), _options(delimiter)).alias("r"), *more).select("r.*", *more)
 
 
 def write_delimited(df, path, delimiter=","):

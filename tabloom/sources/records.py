@@ -12,6 +12,8 @@ Lines end with a line feed, after a carriage return or not; inside a cell both s
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabloom.sources.scratch import kept
+
 BOM = "﻿"
 #: Rows of the split table that may be sent to all tasks, about 200 bytes each; beyond, lines are joined and sorted.
 BROADCAST_SPLITS = 200_000
@@ -109,7 +111,7 @@ def _whole(batches):
 def spanning_records(spark, path, broadcast_splits=BROADCAST_SPLITS):
     """All records as texts, with their file, split and number in it (null for the one over its end)."""
     lines = numbered_lines(spark, path)
-    states = split_states(lines).persist()  # one row per split
+    states = kept(split_states(lines), "states")  # one row per split
     known = with_states(lines, states, broadcast_splits)
     columns = known.select("value", "file", "block", "inside", odd_quotes(F.col("value")).alias("odd"))
     whole = columns.mapInArrow(_whole, RECORDS)

@@ -18,3 +18,13 @@ def scratch_directory(spark, purpose):
             raise TableError("SCRATCH", "Set spark.checkpoint.dir to a shared folder.")
         base = tempfile.mkdtemp(prefix="tabloom-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def kept(frame, purpose):
+    """A small table written once and read back.
+
+    Unlike a cached one it cannot be taken for the table of another file that later has the same path.
+    """
+    path = scratch_directory(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -174,7 +174,7 @@ def test_prepared_rows(table, schema):
     spec = ExperimentSpec("classification", "outcome", FEATURES, ("classification.logistic",))
     run = prepare_run(table, "row_id", schema, spec)
     assert run.counts == {"train": 48, "test": 12} and run.labels == ("no", "yes")
-    assert set(run.rows.columns) == {"row_id", *FEATURES, LABEL, "split"}
+    assert set(run.rows.columns) == {experiment.ROW, *run.names, LABEL, "split"} and tuple(run.names.values()) == FEATURES
     assert run.side(split.TEST).count() == 12 and run.policy["widest"] == 66
     assert len(MODELS) == 6
 

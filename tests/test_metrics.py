@@ -2,11 +2,12 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.contracts import Candidate, Metric
 from tabloom.errors import TableError
 from tabloom.operators import evaluate as ev
-from tabloom.operators.ranking import rank_candidates, ranked, recommendation
+from tabloom.operators.ranking import rank_candidates
 
 
 def sides(spark, train, truth, predicted):
@@ -98,16 +99,14 @@ def test_ranking(spark):
         return Candidate(model, task, status, metrics=(Metric("macro_f1", f1), Metric("accuracy", accuracy)))
 
     candidates = [done("c", 0.5, 0.6), done("b", 0.5, 0.6), done("a", 0.5, 0.7), done("d", None, 0.9), done("e", 0.9, 0.9, "failed")]
-    assert [c.model for c in ranked("classification", candidates)] == ["a", "b", "c"]
-    assert recommendation("classification", candidates) == ("a", "BEST_ON_TEST")
-    assert recommendation("classification", candidates[:1]) == ("c", "ONLY_COMPLETED")
-    assert recommendation("clustering", candidates) is None
     frame = spark.createDataFrame(
         [(c.model, c.task, c.status, c.metrics[1].value, c.metrics[0].value, None) for c in candidates],
         "model_id string, task string, status string, accuracy double, macro_f1 double, mae double",
     )
     rows = rank_candidates(frame).orderBy("rank").collect()
     assert [(r["model_id"], r["recommendation"]) for r in rows] == [("a", "BEST_ON_TEST"), ("b", None), ("c", None)]
+    assert [r["recommendation"] for r in rank_candidates(frame.where("model_id = 'c'")).collect()] == ["ONLY_COMPLETED"]
+    assert [r["recommendation"] for r in rank_candidates(frame.withColumn("task", F.lit("clustering"))).collect()] == [None] * 4
 
 
 def test_too_many_classes_fail(spark):
