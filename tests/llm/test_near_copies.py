@@ -92,7 +92,8 @@ def test_half_alike_texts_meet_at_their_differences(spark, monkeypatch, seed, sm
     rows = half_alike(seed)
     labels = groups_of([t for _, t in rows])
     assert 15 < len(set(labels)) < len(rows) - 40
-    monkeypatch.setattr(near_copies, "SMALL", small)
+    for name, value in (("SMALL", small), ("MEETING", small), ("STUCK", 2.0 if turns > 1 else 0.8)):
+        monkeypatch.setattr(near_copies, name, value)
     monkeypatch.setattr(near_copies, "HOT", 20)
     documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = near_copies.one_of_each(documents, turns=turns).collect()

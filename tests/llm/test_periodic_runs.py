@@ -60,6 +60,16 @@ def test_squares_over_the_seam_of_two_periodic_stretches():
     assert periodic_runs.document_runs([words, words[7:]]) == [brute(words), brute(words[7:])]
 
 
+def test_fibonacci_and_doubling_words():
+    fib, doubled = ["a", "ab"], "a"
+    while len(fib[-1]) < 400:
+        fib.append(fib[-1] + fib[-2])
+    while len(doubled) < 400:  # a word, a letter, the word again
+        doubled = doubled + chr(97 + len(doubled) % 23) + doubled
+    docs = [list(fib[-1]), list(doubled), list(fib[-1][::-1] + doubled)]
+    assert periodic_runs.document_runs(docs) == [brute(d) for d in docs]
+
+
 def expected(doc_id, text):
     words, h = re.findall(r"[^\x20\x09-\x0D]+", text or ""), zlib.crc32(str(doc_id).encode())
     n, g = len(words), h // 10
