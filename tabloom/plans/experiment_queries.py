@@ -1,15 +1,18 @@
 """Whole experiments as tables, scoring under any names, and model steps with a closed form."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabloom.contracts import ColumnProfile, ExperimentSpec, Schema
+from tabloom.contracts import ColumnProfile, ColumnType, ExperimentSpec, Schema
 from tabloom.operators import evaluate, newton, score, sketches, split
-from tabloom.operators.profile import infer_schema
+from tabloom.operators.profile import column_facts, infer_schema, profile
 from tabloom.plans import experiment
 from tabloom.plans.algorithm_queries import _DOCUMENTS, _documents
-from tabloom.plans.catalog import query, table
+from tabloom.plans.catalog import plain_zero, query, table
+from tabloom.plans.model_queries import _test_predictions, fit_side
 from tabloom.plans.split_queries import ORDERS_SHUFFLED
 from tabloom.plans.text_tables import TEXT_ORDERS, TEXT_ORDERS_COLUMNS, text_orders
+from tabloom.sources.jsonl import read_jsonl
 from tabloom.sources.scratch import scratch_directory
 
 # One line through customer and price; an input that varies on test rows only; and the mean as the baseline.
@@ -143,3 +146,66 @@ def profile_distinct_sketch(spark, directory):
     )
     gap = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
     return found.join(exact, "name").select("name", "rows", "missing", "distinct_count", (gap <= 0.05 * F.col("distinct_count")).alias("within"))
+
+
+# Models whose answers are known: classes and values that one input decides, and groups far apart.
+_LEVEL = "CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'mid' ELSE 'low' END"
+
+
+@query(f"WITH {ORDERS_SHUFFLED} SELECT o_orderkey, {_LEVEL} AS prediction FROM s WHERE split = 'test'")
+def forest_classes(spark, directory):
+    rows = split.shuffled_holdout(table(spark, directory, "orders"), "o_orderkey").select(
+        "o_orderkey", F.col("o_orderpriority").alias("priority"), F.expr(_LEVEL).alias("__label"), "split"
+    )
+    scorer = fit_side(rows, {"priority": ColumnType.CATEGORY}, "classification.forest")
+    return _test_predictions(rows, scorer).select("o_orderkey", "prediction")
+
+
+@query(f"WITH {ORDERS_SHUFFLED} SELECT o_orderkey, (CASE WHEN o_custkey % 4 = 1 THEN 70.0 ELSE 10.0 * (o_custkey % 4) END)::double AS prediction FROM s WHERE split = 'test'")
+def forest_values(spark, directory):
+    step = F.col("o_custkey") % 4
+    rows = split.shuffled_holdout(table(spark, directory, "orders"), "o_orderkey").select(
+        "o_orderkey", step.cast("double").alias("step"), F.when(step == 1, 70.0).otherwise(10.0 * step).alias("__label"), "split"
+    )
+    scorer = fit_side(rows, {"step": ColumnType.NUMBER}, "regression.forest")
+    return _test_predictions(rows, scorer).select("o_orderkey", F.round("prediction", 6).alias("prediction"))
+
+
+@query("""SELECT (o_orderkey % 3)::int AS place, count(*) AS n, round(avg((o_orderkey % 3) * 50 + o_custkey % 5), 4) AS x, round(avg((o_orderkey % 3) * -20 + o_custkey % 7), 4) AS y
+FROM orders GROUP BY 1""")
+def kmeans_groups(spark, directory):
+    """Clusters of groups far apart, by their centres in input units, numbered by the first of them."""
+    third = F.col("o_orderkey") % 3
+    rows = table(spark, directory, "orders").select(
+        (third * 50 + F.col("o_custkey") % 5).cast("double").alias("x"), (third * -20 + F.col("o_custkey") % 7).cast("double").alias("y"), F.lit("train").alias("split")
+    )
+    scorer = fit_side(rows, {"x": ColumnType.NUMBER, "y": ColumnType.NUMBER}, "clustering.kmeans", 3)
+    found = score.predict_many(scorer, rows.select("x", "y"))
+    summary = evaluate.cluster_summary(found, scorer.preprocessor, scorer.model.state)
+    wide = summary.groupBy("cluster").agg(F.max("n").alias("n"), *[F.round(F.max(F.when(F.col("name") == c, F.col("center"))), 4).alias(c) for c in ("x", "y")])
+    return wide.select((F.row_number().over(Window.orderBy("x")) - 1).alias("place"), "n", "x", "y")  # a row per cluster
+
+
+@query("""WITH m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((l_quantity - mq) / sq + (l_extendedprice - mp) / sp) / sqrt(2), 4) + 0.0::double AS pc1 FROM lineitem, m""")
+def pca_transform(spark, directory):
+    """The first axis of two scaled inputs that rise together weighs both alike."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, directory, "lineitem").select(*keys, F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    scorer = fit_side(rows.withColumn("split", F.lit("train")), {"quantity": ColumnType.NUMBER, "price": ColumnType.NUMBER}, "reduction.pca", 1)
+    return score.transform_many(scorer, rows, keep=keys).select(*keys, plain_zero(F.round(F.col("components")[0], 4)).alias("pc1"))
+
+
+@query("""SELECT name, warned FROM (SELECT 'mixed' AS name, count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'number' ELSE 'text' END) > 1 AS warned FROM orders
+UNION ALL SELECT 'plain', count(DISTINCT 'text') > 1 FROM orders UNION ALL SELECT 'nulls', false)""")
+def mixed_kinds(spark, directory):
+    """Columns that hold values of several JSON kinds."""
+    path = scratch_directory(spark, "kinds")
+    key = F.col("o_orderkey")
+    line = F.concat(
+        F.lit('{"mixed":'), F.when(key % 3 == 0, key.cast("string")).otherwise(F.concat(F.lit('"k'), key.cast("string"), F.lit('"'))),
+        F.lit(',"plain":"p'), (key % 9).cast("string"), F.lit('","nulls":'), F.when(key % 2 == 0, "null").otherwise('"x"'), F.lit("}"),
+    )
+    table(spark, directory, "orders").select(line.alias("value")).write.text(path)
+    rows = read_jsonl(spark, path, malformed="raise").withColumn("row", F.monotonically_increasing_id())
+    return profile(column_facts(rows, "row")).select("name", F.array_contains("warnings", "MIXED_KINDS").alias("warned"))

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import functions as F
 
 from tabloom.errors import TableError
-from tabloom.functions.names import col, quoted
+from tabloom.functions.names import by_place, quoted
 from tabloom.sources import audits
 
 ERROR = "__error"
@@ -150,21 +150,23 @@ def read_jsonl(spark, path, kinds=True, malformed="fail"):
     if malformed == "raise":
         stop = F.when(F.col(ERROR).isNotNull(), F.raise_error(F.concat(F.col(ERROR), F.lit(": a record cannot be read"))))
         checked = table.where(F.coalesce(stop.cast("boolean"), F.lit(True)))
-        return checked.select(*[col(n) for n in names])
+        return checked.drop(ERROR)
     fault = table.where(F.col(ERROR).isNotNull()).select(ERROR).limit(1).collect()
     if fault:
         fault = json_faults(spark, path, names).orderBy("file", "line").first()
         raise TableError(fault["code"], *MESSAGES[fault["code"]], row=fault["line"])
-    return table.select(*[col(n) for n in names])
+    return table.drop(ERROR)
 
 
 def lexical(df):
     """Drop the kinds: every column as plain text."""
-    return df.select(*[
-        (col(n).getField("raw") if df.schema[n].dataType.typeName() == "struct" else col(n)).alias(n) for n in df.columns
+    placed, place = by_place(df)
+    return placed.select(*[
+        (F.col(c).getField("raw") if placed.schema[c].dataType.typeName() == "struct" else F.col(c)).alias(n) for n, c in place.items()
     ])
 
 
 def write_jsonl(df, path):
     """One JSON object per row with all cells present, nulls included."""
-    df.select(F.to_json(F.struct(*[col(n) for n in df.columns]), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    placed, place = by_place(df)
+    placed.select(F.to_json(F.struct(*[F.col(c).alias(n) for n, c in place.items()]), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
