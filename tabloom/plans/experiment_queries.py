@@ -186,13 +186,14 @@ def kmeans_groups(spark, directory):
     return wide.select((F.row_number().over(Window.orderBy("x")) - 1).alias("place"), "n", "x", "y")  # a row per cluster
 
 
-@query("""WITH m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((l_quantity - mq) / sq + (l_extendedprice - mp) / sp) / sqrt(2), 4) + 0.0::double AS pc1 FROM lineitem, m""")
+@query("""WITH x AS (SELECT *, l_quantity * 2000 + l_extendedprice AS worth FROM lineitem),
+m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(worth) AS mw, stddev_pop(worth) AS sw FROM x)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((l_quantity - mq) / sq + (worth - mw) / sw) / sqrt(2), 4) + 0.0::double AS pc1 FROM x, m""")
 def pca_transform(spark, directory):
     """The first axis of two scaled inputs that rise together weighs both alike."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = table(spark, directory, "lineitem").select(*keys, F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
-    scorer = fit_side(rows.withColumn("split", F.lit("train")), {"quantity": ColumnType.NUMBER, "price": ColumnType.NUMBER}, "reduction.pca", 1)
+    rows = table(spark, directory, "lineitem").select(*keys, F.col("l_quantity").alias("quantity"), (F.col("l_quantity") * 2000 + F.col("l_extendedprice")).alias("worth"))
+    scorer = fit_side(rows.withColumn("split", F.lit("train")), {"quantity": ColumnType.NUMBER, "worth": ColumnType.NUMBER}, "reduction.pca", 1)
     return score.transform_many(scorer, rows, keep=keys).select(*keys, plain_zero(F.round(F.col("components")[0], 4)).alias("pc1"))
 
 
