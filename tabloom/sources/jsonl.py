@@ -104,6 +104,9 @@ def _table(lines, names, kinds):
         F.when(~F.col("valid"), "ENCODING").when(F.col("broken"), "JSON_STRUCTURE").when(F.col("other_keys"), "JSON_KEYS")
         .when(F.col("nested"), "JSON_STRUCTURE")
     )
+    # A filter on the code would be moved below the parsing, where each use of a cell parses the line again; it stays above
+    # a column that Spark takes for indeterminate. Row numbers are never negative.
+    error = F.when(F.monotonically_increasing_id() >= 0, error)
     cells = []
     for i, n in enumerate(names):
         kind, text = F.col(f"t{i}"), F.try_variant_get(f"v.c{i}", "$", "string")
