@@ -1,5 +1,6 @@
 """The six models. Each fit takes encoded rows and returns a small fitted record."""
 
+import math
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tabloom.contracts import SEED, Task
 from tabloom.errors import TableError
+from tabloom.operators import forest
 from tabloom.operators.components import principal_axes, vector_covariance
 from tabloom.operators.newton import NARROW, newton_logistic
 from tabloom.operators.starts import best_of_starts
@@ -36,6 +38,7 @@ KMEANS_ITERATIONS = 300
 
 # Room for the statistics of the tree nodes grown in one pass; more room, fewer passes.
 FOREST_MEMORY_MB = 1_024
+PART_ROWS = 500_000
 DEFAULT_GROUPS = 3
 DEFAULT_COMPONENTS = 2
 
@@ -75,7 +78,7 @@ def models_for(task):
 
 @dataclass
 class FittedModel:
-    """`ml` is the fitted Spark model of a forest or line; the others keep plain arrays in `state`."""
+    """`ml` is the fitted Spark model of a line, or of a forest over rows in too many cells; the others keep plain arrays in `state`."""
 
     id: str
     labels: tuple = ()
@@ -91,6 +94,9 @@ class FittedModel:
         if task == Task.CLUSTERING:
             return df.withColumn("cluster", nearest(vector_to_array(features), self.state["centers"]))
         names = F.array(*[F.lit(x) for x in self.labels])
+        if "roots" in self.state:
+            found = forest.predicted(vector_to_array(features), self.state)
+            return df.withColumn("prediction", F.element_at(names, found.cast("int") + 1) if self.labels else found)
         if self.ml is None:
             return df.withColumn("prediction", F.element_at(names, most_likely(vector_to_array(features), self.state["weights"]) + 1))
         scored = self.ml.transform(df)
@@ -175,12 +181,27 @@ def _logistic(encoded, option, labels, seed):
 
 
 def _classifier_forest(encoded, option, labels, seed):
+    rows = _indexed(encoded, labels)
+    tried = math.ceil(math.sqrt(encoded.first()["features"].size))
+    state = forest.fit_forest(_arrays(rows), TREES, DEPTH, LEAF_ROWS, len(labels), tried, seed)
+    if state is not None:
+        return FittedModel("classification.forest", labels, None, state)
     model = RandomForestClassifier(
         numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF_ROWS, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=FOREST_MEMORY_MB,
-    ).fit(_indexed(encoded, labels))
+    ).fit(_parted(rows))
     return FittedModel("classification.forest", labels, model)
 
 
+def _arrays(rows):
+    return rows.select(vector_to_array("features").alias("x"), F.col("label").alias("y"))
+
+
+def _parted(rows):
+    """Parts of at most PART_ROWS rows: a tree ensemble keeps a number per row and tree of each part it reads."""
+    parts = math.ceil(rows.count() / PART_ROWS)
+    return rows if parts <= rows.rdd.getNumPartitions() else rows.repartition(parts)
+
+
 def _numeric(encoded):
     return encoded.select("features", F.col("label").cast("double").alias("label"))
 
@@ -191,9 +212,13 @@ def _linear(encoded, option, labels, seed):
 
 
 def _regressor_forest(encoded, option, labels, seed):
+    rows = _numeric(encoded)
+    state = forest.fit_forest(_arrays(rows), TREES, DEPTH, LEAF_ROWS, seed=seed)
+    if state is not None:
+        return FittedModel("regression.forest", (), None, state)
     model = RandomForestRegressor(
         numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=LEAF_ROWS, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=FOREST_MEMORY_MB,
-    ).fit(_numeric(encoded))
+    ).fit(_parted(rows))
     return FittedModel("regression.forest", (), model)
 
 

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import descent, evaluate, newton, preprocess, sketches, starts
-from tabloom.operators.models import most_likely, nearest
+from tabloom.operators import descent, evaluate, forest, newton, preprocess, sketches, starts
+from tabloom.operators.models import fit_model, most_likely, nearest
 from tabloom.operators.rows import row_hash
 
 
@@ -120,3 +120,54 @@ def test_sketches_merge_to_that_of_the_whole(spark):
     parts = {r.name: r for r in sketches.estimates(sketches.merged(sketches.column_sketches(rows, ["a", "b"], "part"))).collect()}
     assert whole == parts and abs(whole["a"].distinct_estimate - 9001) < 450
     assert (whole["b"].rows, whole["b"].missing, whole["b"].distinct_estimate) == (30000, 10000, 1)
+
+
+def test_forest_work_follows_the_cells_and_not_the_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 6, 300), rng.integers(0, 4, 300)]).astype(float)
+    y = 10 * x[:, 0] + np.where(x[:, 1] > 1, 1000, 0)
+    rows = frame(spark, x, y)
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("copy")
+    edges = forest.bin_edges(rows.select("x"))
+    assert edges == [[0.5, 1.5, 2.5, 3.5, 4.5], [0.5, 1.5, 2.5]]
+    few, same = (forest.cells_of(r.withColumn("y", F.col("y").cast("double")), edges) for r in (rows, many))
+    assert few.count() == same.count() and same.agg(F.sum("copies")).first()[0] == 40 * 300
+    state = forest.fit_forest(many, 20, 12, 2, seed=1)
+    assert state == forest.fit_forest(many.repartition(7), 20, 12, 2, seed=1)
+    found = rows.select("y", forest.predicted(F.col("x"), state).alias("p")).collect()
+    assert all(abs(r.p - r.y) < 1e-6 for r in found)  # every cell has copies enough to be drawn for each tree
+    model = fit_model("regression.forest", vectors(many), seed=1)
+    assert model.ml is None and len(model.state["roots"]) == 100
+
+
+def vectors(rows):
+    from pyspark.ml.functions import array_to_vector
+
+    return rows.select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
+
+
+def test_forest_draws_are_poisson_and_its_first_split_is_the_best(spark):
+    keys = np.random.default_rng(1).integers(-(2**62), 2**62, 4000)
+    for n in (1, 7, 5000):
+        got = forest.drawn(keys, np.full(4000, n), 50, 9)
+        assert abs(got.mean() - n) < 5 * math.sqrt(n / got.size) and abs(got.var() / n - 1) < 0.03
+        assert abs(np.corrcoef(got[:, 0], got[:, 1])[0, 1]) < 0.08
+    rng = np.random.default_rng(2)
+    codes, n, mean = rng.integers(0, 9, (60, 3)).astype(np.uint8), rng.integers(1, 5, 60).astype(float), rng.normal(size=60)
+    node = forest.grown(codes, np.column_stack([n, n * mean]), 0, [9, 9, 9], 1, 2, 3, 0)[0]
+
+    def spread_of(at):
+        m = np.average(mean[at], weights=n[at])
+        return (n[at] * (mean[at] - m) ** 2).sum()
+
+    splits = {(i, k): spread_of(codes[:, i] <= k) + spread_of(codes[:, i] > k) for i in range(3) for k in range(8) if 2 <= n[codes[:, i] <= k].sum() <= n.sum() - 2}
+    assert (node[0], node[1]) == min(splits, key=splits.get)
+    share = forest.grown(codes, np.column_stack([n * (codes[:, 1] > 4), n * (codes[:, 1] <= 4)]), 2, [9, 9, 9], 5, 2, 3, 0)
+    assert share[0][:2] == [1, 4] and len(share) == 3
+
+
+def test_forest_over_many_cells_goes_to_the_row_solver(spark, monkeypatch):
+    monkeypatch.setattr(forest, "CELLS", 5)
+    rows = vectors(frame(spark, np.arange(30.0)[:, None], np.arange(30) >= 15))
+    model = fit_model("classification.forest", rows.withColumn("label", F.col("label").cast("int").cast("string")), labels=("0", "1"))
+    assert model.ml is not None and {r.prediction for r in model.apply(rows).collect()} == {"0", "1"}
