@@ -2,8 +2,10 @@
 
 Two texts are near copies if their sets of WIDTH-word shingles (as 64-bit hashes) have a Jaccard index of
 LEAST or more; a group is what such pairs join. Texts of equal sets are one before any search.
-Candidates share one of BANDS bands of ROWS minimal hashes: a pair at 0.8 is missed with
-probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Every candidate that could join two groups is
+Each set has a SimHash fingerprint, and `simhash` links those RADIUS or fewer bits apart with its sharded BK-trees. Pairs at 0.8 mostly differ in more bits
+than trees can prune by, so fingerprints alone would leave them apart: candidates share the group of their fingerprints or one of BANDS
+bands of ROWS minimal hashes, of which a pair at 0.8 has none with
+probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million. Both kinds are called bands below. Every candidate that could join two groups is
 confirmed on the sets themselves:
 
 * each member of a band is held against one hub of it, so that a large group of copies joins without its pairs;
@@ -22,10 +24,12 @@ smallest doc_id stays, rows without one come last; of rows equal in id and text
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import dropped, stored, unused
-from tabloom.llm.simhash import shingle_hashes, spread_labels
+from tabloom.llm.simhash import SHARD_PRINTS, majority, shard_links, shards, shingle_hashes, spread_labels
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
+#: Differing bits up to which fingerprints are linked.
+RADIUS = 2
 #: Members of a band, and texts that meet at a difference, up to which all their pairs are looked at.
 SMALL, MEETING = 12, 64
 #: Turns of clusters with hubs at most, and the share of texts left to a turn that makes it the last: hubs part them no further.
@@ -34,8 +38,8 @@ TURNS, STUCK = 4, 0.8
 BROADCAST_ROWS = 4_000_000
 #: Members of a band or cluster beyond which they are dealt to SALTS tasks.
 HOT, SALTS = 1_000, 32
-#: Shingles hashed together.
-TOGETHER = 2048
+#: Shingles hashed together, and texts that a worker holds the sets of.
+TOGETHER, TEXTS = 2048, 256
 
 
 def row_key(documents):
@@ -45,8 +49,8 @@ def row_key(documents):
 
 
 def signatures(documents, width=WIDTH, bands=BANDS, rows=ROWS):
-    """doc_id, row key, print (of the whole set), shingles (sorted, as signed numbers) and bands of every text."""
-    schema = "doc_id long, a long, b long, print long, shingles array<long>, bands array<long>"
+    """doc_id, row key, print (of the whole set), mark (its SimHash), shingles (sorted, as signed numbers) and bands of every text."""
+    schema = "doc_id long, a long, b long, print long, mark long, shingles array<long>, bands array<long>"
 
     def sign(batches):
         import numpy as np
@@ -65,11 +69,12 @@ def signatures(documents, width=WIDTH, bands=BANDS, rows=ROWS):
                 np.minimum(least, mixed.min(1), out=least)
             return ((least.reshape(bands, rows) ^ (least.reshape(bands, rows) >> np.uint64(29))) * within).sum(1, dtype=np.uint64) * of_band + of_band
 
-        for batch in batches:
-            prints, sets, keys = [], [], []
+        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, len(b), TEXTS)):
+            prints, marks, sets, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = np.unique(np.array(shingle_hashes(text, width), np.uint64))
                 prints.append(xxh64_intdigest(found.tobytes(), 5))
+                marks.append(majority(found))
                 sets.append(found)
                 keys.append(banded(found) if len(found) else found)
             lists = [
@@ -79,7 +84,7 @@ def signatures(documents, width=WIDTH, bands=BANDS, rows=ROWS):
                 for x in (sets, keys)
             ]
             prints = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "a", "b")), prints, *lists], [x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("doc_id", "a", "b")), prints, pa.array(marks, pa.int64()), *lists], [x.split()[0] for x in schema.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(documents).alias("key"), "text").select(
         "doc_id", "key.*", "text"
@@ -230,9 +235,20 @@ def difference_links(keys, sets, links, least, turns=TURNS):
             return links
 
 
+def marked_bands(signed, radius=RADIUS, shard_prints=SHARD_PRINTS):
+    """print, size and band of every text whose fingerprint is linked to another's or equal to it: the group of fingerprints is the band."""
+    sets = signed.select("print", "mark", F.size("shingles").alias("size")).distinct()
+    marks = stored(sets.groupBy(F.col("mark").alias("print")).agg(F.count("*").alias("sets")), "marks")
+    labels = spread_labels(shard_links(shards(marks, radius, shard_prints), radius))
+    groups = marks.join(labels, "print", "left").filter("label IS NOT NULL OR sets > 1")
+    groups = groups.select(F.col("print").alias("mark"), F.xxhash64(F.coalesce("label", "print"), F.lit("mark")).alias("band"))
+    return sets.join(groups, "mark").select("print", "size", "band")
+
+
 def copy_links(signed, firsts, least=LEAST, turns=TURNS):
     """print and fellow: confirmed links that join every group of near copies."""
     banded = signed.select("print", F.size("shingles").alias("size"), F.explode("bands").alias("band")).distinct()
+    banded = banded.unionByName(marked_bands(signed))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(banded.join(shared, "band").withColumn("salt", salt(F.col("n"))), "members")
     used = stored(firsts.join(members.select("print").distinct(), "print", "left_semi").select("row"), "used")

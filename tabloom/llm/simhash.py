@@ -47,10 +47,14 @@ def shingle_hashes(text, width):
 
 def fingerprint(text, width=3):
     """64-bit SimHash over hashed word shingles, repeats counted; a signed integer."""
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes):
+    """The bits set in over half of some 64-bit hashes, as a signed integer; zero without any."""
     import numpy as np
 
-    hashes = shingle_hashes(text, width)
-    if not hashes:
+    if not len(hashes):
         return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, BITS)
     most = 2 * np.add.reduce(bits, axis=0, dtype=np.int64) > len(hashes)

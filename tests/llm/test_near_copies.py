@@ -100,6 +100,24 @@ def test_half_alike_texts_meet_at_their_differences(spark, monkeypatch, seed, sm
     assert sorted((False, r.doc_id) for r in got) == least_ids(rows, labels)
 
 
+def test_fingerprints_link_near_copies_that_share_no_band(spark):
+    rng = random.Random(5)
+    rows, k = [], 0
+    for _ in range(6):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(3000)]
+        for edits in (0, 1, 1):
+            rows.append((k, edited(rng, words, edits)))
+            k += 1
+    rows += [(100, "one line alone"), (101, "")]
+    sets = [shingles(t) for _, t in rows]
+    marks = [simhash.majority(sorted(set(simhash.shingle_hashes(t, 5)))) for _, t in rows]
+    near = {(a, b) for a in range(len(rows)) for b in range(a) if (marks[a] ^ marks[b]).bit_count() <= near_copies.RADIUS}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in near) and len(near) >= 6
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_copies.one_of_each(documents, bands=1, rows=4000).collect()  # such a band is shared by equal sets alone
+    assert sorted((False, r.doc_id) for r in got) == least_ids(rows, groups_of([t for _, t in rows], near))
+
+
 def test_the_whole_table_as_brute_force(spark):
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
