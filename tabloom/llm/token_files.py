@@ -31,6 +31,8 @@ from tabloom.llm.common import shared_path, stored
 from tabloom.llm.packing import LONGEST, REMEMBERED, RUN_CHARACTERS, runs
 
 SEGMENT_IDS = 1 << 22
+#: Rows of a batch that a worker holds as Python objects.
+TEXTS = 512
 #: Bytes of text in a range, unless that makes more than MOST_PARTS of them.
 PART_BYTES, MOST_PARTS = 32 << 20, 20_000
 #: Every so many ones of the high bits have their place noted.
@@ -224,6 +226,11 @@ def byte_ids(path, end_id):
     return ByteIds(path, end_id)
 
 
+def slices(batches, rows=TEXTS):
+    """The batches cut into ones of at most so many rows."""
+    return (b.slice(k, rows) for b in batches for k in range(0, len(b), rows))
+
+
 def write_corpus(documents, vocabulary, path, end_id=0, segment_ids=SEGMENT_IDS, part_bytes=PART_BYTES):
     """Write the ids of all documents below a new path, in rising doc_id order; segments hold `segment_ids` ids or a text more."""
     order = ["doc_id", "hash", "place"]
@@ -244,7 +251,7 @@ def write_corpus(documents, vocabulary, path, end_id=0, segment_ids=SEGMENT_IDS,
         def made():
             return pa.RecordBatch.from_pydict({"value": pa.array([Segment.encode(part, seq, tokens.width, names, sizes, ids)], pa.binary())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for docs in runs(batch, RUN_CHARACTERS):
                 for (doc_id, _), found in zip(docs, tokens.ids([text for _, text in docs]), strict=True):
                     names.append(doc_id)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,3 +98,9 @@ def test_nulls_repeats_long_texts_and_many_segments(spark, tokenizer):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
     assert token_files.round_trip(empty, BYTES).collect() == []
+
+
+def test_batches_are_cut_into_few_rows_and_none_is_lost():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + n))}) for k, n in ((0, 1), (1, 0), (1, 2000), (2001, 512))]
+    cut = list(token_files.slices(batches))
+    assert max(map(len, cut)) <= 512 and [i for b in cut for i in b.column("doc_id").to_pylist()] == list(range(2513))
