@@ -144,19 +144,32 @@ def small_pairs(members, least):
     return both.select("print", "fellow").distinct()
 
 
-def clusters_of(keys):
-    """print, cluster, n (its size) and hub (the text with most keys): texts with a key in common, directly or through others."""
+def clusters_of(keys, sets):
+    """print, cluster, n (its size) and hub (see `central`): texts with a key in common, directly or through others."""
     firsts = keys.groupBy("key").agg(F.min("print").alias("fellow"))
     both = stored(keys.join(firsts, "key").select("print", "fellow").distinct(), "firsts")
     least = both.groupBy("print").agg(F.min("fellow").alias("least"))
     # a text and the least first of its keys, and that one with the other firsts: most texts of a cluster share the latter
     star = both.join(least, "print").select(F.explode(F.array(F.struct("print", "least"), F.struct(F.col("fellow").alias("print"), "least"))).alias("e"))
     star = stored(star.select("e.print", F.col("e.least").alias("fellow")).filter("print != fellow").distinct(), "star")
-    weights = keys.groupBy("print").agg(F.count("*").alias("weight"))
-    rows = stored(spread_labels(star).withColumnRenamed("label", "cluster").join(weights, "print"), "clusters")
-    most = F.max(F.struct("weight", F.xxhash64("print").alias("order"), F.col("print").alias("hub"))).alias("most")
-    hubs = rows.groupBy("cluster").agg(F.count("*").alias("n"), most).select("cluster", "n", "most.hub")
-    return rows.join(hubs, "cluster").select("print", "cluster", "n", "hub", salt(F.col("n")).alias("salt"))
+    labels = spread_labels(star).withColumnRenamed("label", "cluster")
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
+    rows = stored(labels.join(sizes, "cluster").select("print", "cluster", "n", salt(F.col("n")).alias("salt")), "clusters")
+    return rows.join(central(rows, sets), "cluster").select("print", "cluster", "n", "hub", "salt")
+
+
+def central(clusters, sets):
+    """cluster and hub: the text nearest to the shingles that over half of the cluster's texts have.
+
+    Edits of the hub's own are differences that all other texts share, so they would all meet there.
+    """
+    each = clusters.join(sets, "print")
+    tokens = each.select("cluster", "n", F.explode("shingles").alias("token")).groupBy("cluster", "n", "token").agg(F.count("*").alias("times"))
+    cores = tokens.filter("2 * times > n").groupBy("cluster", "n").agg(F.collect_list("token").alias("core"))
+    both = each.join(salted(cores), ["cluster", "salt"], "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    distance = F.size("shingles") - 2 * F.size(F.array_intersect("shingles", "core"))
+    rows = both.select("cluster", F.struct(distance.alias("distance"), F.xxhash64("print").alias("order"), "print").alias("near"))
+    return rows.groupBy("cluster").agg(F.min("near").alias("near")).select("cluster", F.col("near.print").alias("hub"))
 
 
 def differences(clusters, sets, least):
@@ -209,7 +222,7 @@ def meeting_pairs(meetings, least):
 def difference_links(keys, sets, links, least, turns=TURNS):
     """Links between texts with a key in common, by their differences from hubs; `links` are those known."""
     for turn in range(turns):
-        clusters = stored(clusters_of(keys), "clusters")
+        clusters = stored(clusters_of(keys, sets), "clusters")
         rows = stored(differences(clusters, sets, least), "differences")
         links = links.unionByName(rows.filter("linked AND print != hub").select("print", F.col("hub").alias("fellow")))
         rows = stored(labelled(rows, links), "differences")

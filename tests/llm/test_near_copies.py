@@ -100,6 +100,14 @@ def test_half_alike_texts_meet_at_their_differences(spark, monkeypatch, seed, sm
     assert sorted((False, r.doc_id) for r in got) == least_ids(rows, labels)
 
 
+def test_the_hub_is_the_text_nearest_to_what_most_share(spark):
+    sets = {k: list(range(100 - 5 * k)) + [1000 * k + j for j in range(5 * k)] for k in range(1, 8)}  # 1 differs least from the others
+    table = spark.createDataFrame(list(sets.items()), "print long, shingles array<long>")
+    keys = [(9, k) for k in sets] + [(key, k) for key in (10, 11, 12) for k in (6, 7)]  # 6 and 7 have the most keys
+    found = near_copies.clusters_of(spark.createDataFrame(keys, "key long, print long"), table).collect()
+    assert sorted((r.print, r.n, r.hub) for r in found) == [(k, 7, 1) for k in sets]
+
+
 def test_fingerprints_link_near_copies_that_share_no_band(spark):
     rng = random.Random(5)
     rows, k = [], 0
