@@ -23,7 +23,7 @@ smallest doc_id stays, rows without one come last; of rows equal in id and text
 
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import dropped, stored, unused
+from tabloom.llm.common import dropped, kept, slices, stored, unused
 from tabloom.llm.simhash import SHARD_PRINTS, majority, shard_links, shards, shingle_hashes, spread_labels
 
 WIDTH, LEAST = 5, 0.8
@@ -69,7 +69,8 @@ def signatures(documents, width=WIDTH, bands=BANDS, rows=ROWS):
                 np.minimum(least, mixed.min(1), out=least)
             return ((least.reshape(bands, rows) ^ (least.reshape(bands, rows) >> np.uint64(29))) * within).sum(1, dtype=np.uint64) * of_band + of_band
 
-        for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, len(b), TEXTS)):
+        kept("near_copies")
+        for batch in slices(batches, TEXTS):
             prints, marks, sets, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = np.unique(np.array(shingle_hashes(text, width), np.uint64))

@@ -14,12 +14,11 @@ import os
 import re
 import zlib
 from array import array
-from functools import lru_cache
 from itertools import filterfalse
 
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored
+from tabloom.llm.common import kept, slices, stored
 
 #: Distinct parts a worker remembers, the longest it remembers, and characters encoded together.
 REMEMBERED, LONGEST, RUN_CHARACTERS = 800_000, 48, 2_000_000
@@ -70,9 +69,8 @@ class WordIds:
         return found
 
 
-@lru_cache(maxsize=2)
 def word_ids(path):
-    return WordIds(path)
+    return kept(("packing", path), lambda: WordIds(path))
 
 
 class RoomTree:
@@ -142,7 +140,7 @@ def tokenised_pieces(documents, vocabulary, capacity=4096, end_id=1):
         tokens, end = word_ids(vocabulary), end_id.to_bytes(4, "little")
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for docs in runs(batch, RUN_CHARACTERS):
                 for (doc_id, _), ids in zip(docs, tokens.ids([text for _, text in docs]), strict=True):

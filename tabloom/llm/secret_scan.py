@@ -15,7 +15,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored
+from tabloom.llm.common import kept, slices, stored
 
 RULE_VERSION = "1"
 #: Texts with findings that may be sent to all tasks; beyond, the join shuffles.
@@ -81,7 +81,8 @@ def scan(versions, ledger=None, rule_version=RULE_VERSION):
     def look(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        kept("secret_scan")
+        for batch in slices(batches):
             spans = [written(spans_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(spans, pa.string())], ["blob", "spans"])
 
@@ -136,7 +137,8 @@ def redact(documents, ledger=None, broadcast_rows=BROADCAST_ROWS):
     """The documents with their secrets masked; n_chars, if there, follows the text.
 
     Texts with findings are looked up by blob. Up to `broadcast_rows` of them are sent to all
-    tasks, else both sides are dealt by blob; the rows are the same.
+    tasks, else both sides are dealt by blob; the rows are the same. Texts without findings stay
+    where they are: only the others go to Python.
     """
     versions = blobs(documents)
     hits = updated(versions, ledger).filter("spans != ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
@@ -146,9 +148,10 @@ def redact(documents, ledger=None, broadcast_rows=BROADCAST_ROWS):
 
     @F.pandas_udf("string")
     def mask(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if not s else masked(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+        return pd.Series([None if t is None else masked(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask("text", F.coalesce("__spans", F.lit(""))))
+    found = F.when(F.col("__spans").isNotNull(), F.col("text"))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask(found, "__spans"))
     done = joined.withColumn("text", text)
     if "n_chars" in documents.columns:
         counted = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))

@@ -10,12 +10,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
-    language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter,
+    common, language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, simhash, spot_signatures, token_counts, url_filter,
 )
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -279,6 +280,21 @@ def test_redaction(documents, rows, few):
     assert not any(secrets_plain(t or "") for t in texts)
 
 
+def test_only_texts_with_findings_go_to_python(documents):
+    plan = secret_scan.redact(documents, broadcast_rows=0)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"mask\(CASE WHEN isnotnull\(__spans#\d+\) THEN text#\d+ END, __spans#\d+\)", plan)
+
+
+def test_a_worker_holds_few_texts_and_one_operators_cache():
+    batch = pa.RecordBatch.from_pydict({"text": [str(k) for k in range(1300)]})
+    parts = list(common.slices([batch, batch.slice(0, 0)]))
+    assert [len(b) for b in parts] == [512, 512, 276] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    made = common.kept("a", list)
+    assert common.kept("a", list) is made
+    common.kept("b")
+    assert common.kept("a", list) is not made
+
+
 def test_language_id(documents, rows, empty):
     got = language_id.identify(documents, PIECES).collect()
     assert len(got) == len(rows)
