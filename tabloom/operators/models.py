@@ -5,7 +5,6 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassificationModel,
@@ -225,11 +224,8 @@ def _regressor_forest(encoded, option, labels, seed):
 def _kmeans(encoded, option, labels, seed):
     k = DEFAULT_GROUPS if option is None else option
     x = vector_to_array("features")
-    data = encoded.select(x.alias("x"), F.xxhash64(x).alias("key")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        centers, inertia, iterations, sizes = best_of_starts(data, k, KMEANS_STARTS, KMEANS_ITERATIONS, seed)
-    finally:
-        data.unpersist()
+    data = encoded.select(x.alias("x"), F.xxhash64(x).alias("key"))
+    centers, inertia, iterations, sizes = best_of_starts(data, k, KMEANS_STARTS, KMEANS_ITERATIONS, seed)
     if not all(sizes):
         raise TableError("CLUSTERS", "Fewer groups were formed than requested.", "Choose fewer groups.")
     return FittedModel("clustering.kmeans", (), None, {"inertia": inertia, "iterations": iterations, "centers": centers.tolist()})

@@ -5,7 +5,9 @@ table to a small summary. Nothing is ranked before it has become small.
 """
 
 import math
+from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +15,7 @@ from tabloom.functions.names import col
 
 DIGITS = 3  # hex digits settled per pass: 4,096 summary rows per group
 SMALL = 10_000  # rows or values a single task may rank
+ACCURACY = 4_096  # counts per column and pass of a median, a power of two
 
 
 def hash_cutoffs(df, digest, quotas, group=None, small=SMALL):
@@ -86,13 +89,12 @@ def smallest_rows(df, digest, k):
     return df.where(within_cutoff(digest, hash_cutoffs(df, digest, {"": k})))
 
 
-def exact_medians(df, columns, small=SMALL, accuracy=10_000):
+def exact_medians(df, columns, small=SMALL, accuracy=ACCURACY):
     """Exact median of each double column, nulls left out; None for an empty column.
 
-    Each pass asks the built-in approximate quantile for two values that surely enclose
-    the wanted rank and counts exactly what lies below and between them. Values at the
-    ends are settled by their counts, so heavily repeated values end the search instead
-    of stalling it. All columns share the passes.
+    Doubles are read as whole numbers in the same order. Each pass counts rows by the next bits of them, at most `accuracy`
+    counts up to the next power of two, and keeps only the prefix in which the wanted rank falls, until few rows or
+    one value are left. All columns share the passes, and each task sends one count per prefix on.
     """
     if not columns:
         return {}
@@ -107,74 +109,100 @@ def exact_medians(df, columns, small=SMALL, accuracy=10_000):
     ranks = {
         i: sorted({(counts[i] - 1) // 2, counts[i] // 2}) for i in range(len(columns)) if counts[i] > small
     }
-    found = _order_statistics(df, c, {i: counts[i] for i in ranks}, ranks, small, accuracy)
-    medians.update({columns[i]: sum(found[i][r] for r in ranks[i]) / len(ranks[i]) for i in ranks})
+    if ranks:
+        found = _order_statistics(df.select(*[x.cast("double").alias(f"c{i}") for i, x in enumerate(c) if i in ranks]), ranks, small, max(1, (accuracy - 1).bit_length()))
+        medians.update({columns[i]: sum(found[i, r] for r in ranks[i]) / len(ranks[i]) for i in ranks})
     return medians
 
 
-def _order_statistics(df, c, sizes, ranks, small, accuracy):
-    """Values at zero-based ranks. A window is (low, high, rows before it, rows in it)."""
-    found = {i: {} for i in ranks}
-    windows = {(i, r): (None, None, 0, sizes[i]) for i in ranks for r in ranks[i]}
-
-    def inside(i, low, high):
-        keep = c[i].isNotNull()
-        if low is not None:
-            keep = keep & (c[i] > low)
-        if high is not None:
-            keep = keep & (c[i] < high)
-        return keep
-
-    while windows:
-        asks, jobs = [], list(windows.items())
-        for number, ((i, r), (low, high, before, size)) in enumerate(jobs):
-            value = F.when(inside(i, low, high), c[i])
-            if size <= small:
-                ask = F.sort_array(F.collect_list(value)).getItem(r - before)
-                asks.append(ask.alias(f"v{number}"))
-            else:
-                at, margin = (r - before + 0.5) / size, 2.0 / accuracy
-                ends = [max(0.0, at - margin), min(1.0, at + margin)]
-                asks.append(F.percentile_approx(value, ends, accuracy).alias(f"v{number}"))
-        row = df.agg(*asks).first()
-        narrowed = []
-        for number, (key, (low, high, before, size)) in enumerate(jobs):
-            if size <= small:
-                found[key[0]][key[1]] = row[number]
-                del windows[key]
-            else:
-                narrowed.append((key, row[number], low, high, before))
-        if not narrowed:
-            continue
-        counts = []
-        for (i, _), (a, b), low, high, _ in narrowed:
-            base = inside(i, low, high)
-            counts += [
-                F.count_if(base & (c[i] < a)),
-                F.count_if(base & (c[i] == a)),
-                F.count_if(base & (c[i] > a) & (c[i] < b)),
-                F.count_if(base & (c[i] == b)),
-            ]
-        row = df.agg(*[x.alias(f"k{n}") for n, x in enumerate(counts)]).first()
-        for number, (key, (a, b), low, high, before) in enumerate(narrowed):
-            below, at_a, between, at_b = row[4 * number : 4 * number + 4]
-            place = key[1] - before
-            if place < below:
-                windows[key] = (low, a, before, below)
-            elif place < below + at_a:
-                found[key[0]][key[1]] = a
-                del windows[key]
-            elif place < below + at_a + between:
-                windows[key] = (a, b, before + below + at_a, between)
-            elif a != b and place < below + at_a + between + at_b:
-                found[key[0]][key[1]] = b
-                del windows[key]
-            else:
-                past = below + at_a + between + (at_b if a != b else 0)
-                windows[key] = (b, high, before + past, windows[key][3] - past)
+def ordered(values):
+    """Doubles as whole numbers in Spark's order: zeros are equal, NaN comes last."""
+    values = np.where(np.isnan(values), np.nan, values + 0.0).view(np.int64)
+    return np.where(values < 0, values ^ np.int64(2**63 - 1), values)
+
+
+def unordered(number):
+    """The double of such a number."""
+    number = np.int64(number)
+    return float((number ^ np.int64(2**63 - 1) if number < 0 else number).view(np.float64))
+
+
+def _order_statistics(df, ranks, small, bits):
+    """Values at zero-based ranks of columns c0, c1, ... by (column number, rank)."""
+    found, open_ = {}, {(i, r): (0, 0, r) for i in ranks for r in ranks[i]}  # bits known, the prefix they make, rank within it
+    while open_:
+        asked = {}  # ranks in the same rows share their counts
+        for (i, r), (depth, prefix, left) in open_.items():
+            asked.setdefault((i, depth, prefix), []).append((r, left))
+        jobs = list(asked)
+        counted = df.mapInArrow(partial(_count, jobs, bits), "job int, place long, n long, low long, high long")
+        whole = Window.partitionBy("job")
+        upto = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        counted = counted.groupBy("job", "place").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        counted = counted.select("job", "place", "n", F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"), F.sum("n").over(upto).alias("upto"))
+        wanted = F.create_map(*[x for k, job in enumerate(jobs) for x in (F.lit(k), F.array(*[F.lit(left) for _, left in asked[job]]))])
+        hit = F.exists(wanted[F.col("job")], lambda left: (left >= F.col("upto") - F.col("n")) & (left < F.col("upto")))
+        open_, ready = {}, {}
+        for row in counted.where(hit).collect():
+            i, depth, prefix = jobs[row["job"]]
+            width = min(bits, 64 - depth)
+            for r, left in asked[i, depth, prefix]:
+                left -= row["upto"] - row["n"]
+                if not 0 <= left < row["n"]:
+                    continue
+                if row["low"] == row["high"]:
+                    found[i, r] = unordered(row["low"])
+                elif depth + width == 64:
+                    found[i, r] = unordered(row["place"])
+                else:
+                    (ready if row["n"] <= small else open_)[i, r] = (depth + width, row["place"], left)
+        if ready:
+            jobs = sorted({(i, *at[:2]) for (i, _), at in ready.items()})
+            rows = df.mapInArrow(partial(_inside, jobs), "job int, value long").groupBy("job").agg(F.sort_array(F.collect_list("value")).alias("v")).collect()
+            values = {jobs[row["job"]]: row["v"] for row in rows}
+            found.update({(i, r): unordered(values[i, depth, prefix][left]) for (i, r), (depth, prefix, left) in ready.items()})
     return found
 
 
+def _prefixed(batch, jobs):
+    """Number of the job and its rows' numbers, for each prefix of bits that rows of the batch have."""
+    column, numbers = None, None
+    for k, (i, depth, prefix) in enumerate(jobs):
+        if i != column:
+            column, numbers = i, ordered(batch.column(f"c{i}").drop_null().to_numpy(zero_copy_only=False))
+        inside = numbers[numbers >> np.int64(64 - depth) == prefix] if depth else numbers
+        if len(inside):
+            yield k, inside
+
+
+def _count(jobs, bits, batches):
+    import pyarrow as pa
+
+    counts, ends = {}, {}
+    for batch in batches:
+        for k, numbers in _prefixed(batch, jobs):
+            depth = jobs[k][1]
+            width = min(bits, 64 - depth)
+            place = (numbers >> np.int64(64 - depth - width)) & np.int64(2**width - 1)
+            counts[k] = counts.get(k, 0) + np.bincount(place, minlength=2**width)
+            low, high = ends.get(k, (numbers[0], numbers[0]))
+            ends[k] = min(low, numbers.min()), max(high, numbers.max())
+    for k, n in counts.items():
+        _, depth, prefix = jobs[k]
+        width, seen = min(bits, 64 - depth), np.flatnonzero(n)
+        place = np.int64(prefix) << np.int64(width) | seen if depth else np.where(seen >= 2 ** (width - 1), seen - 2**width, seen)
+        columns = [np.full(len(seen), k, np.int32), place, n[seen], *[np.full(len(seen), end, np.int64) for end in ends[k]]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["job", "place", "n", "low", "high"])
+
+
+def _inside(jobs, batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for k, numbers in _prefixed(batch, jobs):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(numbers), k, np.int32)), pa.array(numbers)], ["job", "value"])
+
+
 def held_out(n):
     """Held-out rows of n: one fifth, rounded up."""
     return math.ceil(n / 5)

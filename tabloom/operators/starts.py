@@ -6,17 +6,55 @@ the rows, so a start does not depend on tasks or their order. Starts that have c
 """
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tabloom.operators.newton import matrix
 
 #: A start rests when no centre moves further than this, relative to the spread of the data.
 REST = 1e-7
+#: Size of a block of rows, and centres held against it at once.
+BLOCK_BYTES, CENTRES = 2_000_000, 64
+
+
+def blocks(rows):
+    """The rows as blocks of matrices: inputs `x` and hashes `key` as bytes, which later passes read without converting a value.
+
+    Rows that are blocks already stay as they are.
+    """
+    if rows.schema["x"].dataType.typeName() == "binary":
+        return rows
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                x, keys = matrix(batch.column("x")), batch.column("key").to_numpy()
+                step = max(1, BLOCK_BYTES // (8 * x.shape[1]))
+                for at in range(0, len(x), step):
+                    yield pa.RecordBatch.from_pydict({"x": [x[at : at + step].tobytes()], "key": [keys[at : at + step].tobytes()]})
+
+    return rows.select("x", "key").mapInArrow(pack, "x binary, key binary")
+
+
+def opened(batches):
+    """Inputs and hashes of each block."""
+    for batch in batches:
+        for x, key in zip(batch.column("x"), batch.column("key")):
+            keys = np.frombuffer(key.as_buffer(), np.int64)
+            yield np.frombuffer(x.as_buffer(), float).reshape(len(keys), -1), keys
 
 
 def squares(x, centres):
-    """Squared distance of each row to each centre."""
-    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0.0)
+    """Squared distance of each centre (row) to each row of x."""
+    return np.maximum((x * x).sum(1) - 2 * centres @ x.T + (centres * centres).sum(1)[:, None], 0.0)
+
+
+def together(starts, k):
+    """Slices of starts whose centres are held against a block at once."""
+    step = max(1, CENTRES // k)
+    return [slice(at, min(at + step, starts)) for at in range(0, starts, step)]
 
 
 def noise(keys, start, turn):
@@ -30,7 +68,7 @@ def noise(keys, start, turn):
 
 def first_centres(rows, k, starts, seed):
     """Centres (starts, k, inputs) by rows drawn far from each other."""
-    centres = np.zeros((starts, 0, len(rows.first()["x"])))
+    rows, centres = blocks(rows), np.zeros((starts, 0, 0))
     for turn in range(k):
         chosen = centres
 
@@ -38,12 +76,9 @@ def first_centres(rows, k, starts, seed):
             import pyarrow as pa
 
             best = {}
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x, keys = matrix(batch.column("x")), batch.column("key").to_numpy()
+            for x, keys in opened(batches):
                 for s in range(starts):
-                    far = squares(x, chosen[s]).min(1) if turn else np.ones(len(x))
+                    far = squares(x, chosen[s]).min(0) if turn else np.ones(len(x))
                     with np.errstate(divide="ignore"):
                         time = -np.log(noise(keys, seed + s, turn)) / far
                     at = int(time.argmin())
@@ -55,31 +90,34 @@ def first_centres(rows, k, starts, seed):
         raced = rows.select("x", "key").mapInArrow(race, "start int, time double, x array<double>")
         winners = raced.groupBy("start").agg(F.min_by("x", F.struct("time", "x")).alias("x")).collect()
         new = np.array([r.x for r in sorted(winners, key=lambda r: r.start)])
-        centres = np.concatenate([centres, new[:, None, :]], axis=1)
+        centres = np.concatenate([centres.reshape(starts, turn, new.shape[1]), new[:, None, :]], axis=1)
     return centres
 
 
 def sums(rows, centres):
     """Rows, sums of inputs and cost per start and centre: an array (starts, k, 2 + inputs)."""
     starts, k, width = centres.shape
+    parted = together(starts, k)
 
     def add(batches):
         import pyarrow as pa
 
         total = np.zeros((starts, k, 2 + width))
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = matrix(batch.column("x"))
-            for s in range(starts):
-                far = squares(x, centres[s])
-                near = far.argmin(1)
-                total[s, :, 0] += np.bincount(near, minlength=k)
-                total[s, :, 1] += np.bincount(near, far[np.arange(len(x)), near], k)
-                total[s, :, 2:] += (near[:, None] == np.arange(k)).T.astype(float) @ x
+        for x, _ in opened(batches):
+            for some in parted:
+                far = squares(x, centres[some].reshape(-1, width)).reshape(-1, k, len(x))
+                least, near = far[:, 0].copy(), np.zeros((len(far), len(x)), np.int64)
+                for c in range(1, k):
+                    near[far[:, c] < least] = c  # the first among equals
+                    np.minimum(least, far[:, c], out=least)
+                for s, (own, cost) in enumerate(zip(near, least), some.start):
+                    total[s, :, 0] += np.bincount(own, minlength=k)
+                    total[s, :, 1] += np.bincount(own, cost, k)
+                members = (near[:, None, :] == np.arange(k)[:, None]).astype(float)
+                total[some, :, 2:] += (members.reshape(-1, len(x)) @ x).reshape(-1, k, width)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(range(starts * k), pa.int32()), "v": list(total.reshape(starts * k, -1))})
 
-    parts = rows.select("x").mapInArrow(add, "slot int, v array<double>").select("slot", F.posexplode("v").alias("pos", "value"))
+    parts = rows.mapInArrow(add, "slot int, v array<double>").select("slot", F.posexplode("v").alias("pos", "value"))
     found = np.zeros((starts * k, 2 + width))
     for r in parts.groupBy("slot", "pos").agg(F.sum("value").alias("value")).collect():
         found[r.slot, r.pos] = r.value
@@ -90,7 +128,16 @@ def best_of_starts(rows, k, starts, iterations, seed):
     """(centres, cost, iterations, rows per centre) of the start with the least cost, the first among equals.
 
     `rows` has x, an array of numbers, and key, a hash of it. A centre without rows stays where it is.
+    The rows are read once, into blocks that stay while the passes go on.
     """
+    held = blocks(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _best(held, k, starts, iterations, seed)
+    finally:
+        held.unpersist()
+
+
+def _best(rows, k, starts, iterations, seed):
     centres = first_centres(rows, k, starts, seed)
     moving, taken = list(range(starts)), np.zeros(starts, int)
     spread = float(np.abs(centres).max()) or 1.0

@@ -41,7 +41,9 @@ def fit_side(rows, types, model_id, option=None):
     train = spread(rows.where(F.col("split") == split.TRAIN)).persist()
     prep = preprocess.fit_preprocessor(train, types, models.model_spec(model_id).scale)
     kept = ["features", *([F.col("__label").alias("label")] if task.supervised else [])]
-    encoded = preprocess.encode(train, prep).select(*kept).persist()
+    encoded = preprocess.encode(train, prep).select(*kept)
+    if task != Task.CLUSTERING:  # which reads the rows once
+        encoded = encoded.persist()
     labels = ()
     if task == Task.CLASSIFICATION:
         labels = tuple(sorted(r[0] for r in encoded.select("label").distinct().collect()))

@@ -76,6 +76,21 @@ def test_all_starts_at_once_as_one_by_one(spark):
         assert np.allclose(np.mean([r.x for r in found if r.c == c], axis=0), centres[c], atol=1e-5)
 
 
+def test_passes_over_blocks_of_rows(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(500, 3))
+    rows = frame(spark, x, np.zeros(len(x))).select("x", F.xxhash64("x").alias("key"))
+    blocks = starts.blocks(rows)
+    assert starts.blocks(blocks) is blocks and blocks.count() == 3  # one a task
+    read = np.concatenate([a for a, _ in starts.opened(blocks.toArrow().to_batches())])
+    assert sorted(map(tuple, read)) == sorted(map(tuple, x))
+    centres = x[:14].reshape(7, 2, 3)
+    monkeypatch.setattr(starts, "CENTRES", 4)  # not all starts at once
+    far = ((x[:, None, None] - centres) ** 2).sum(3)
+    want = [[[(far[:, s].argmin(1) == c).sum(), *x[far[:, s].argmin(1) == c].sum(0)] for c in range(2)] for s in range(7)]
+    found = starts.sums(blocks, centres)
+    assert np.allclose(found[:, :, [0, 2, 3, 4]], want) and np.allclose(found[:, :, 1].sum(1), far.min(2).sum(0))
+
+
 def test_starts_with_fewer_different_rows_than_groups(spark):
     rows = frame(spark, [[1.0], [1.0], [2.0]], [0, 0, 0]).select("x", F.xxhash64("x").alias("key"))
     assert 0 in starts.best_of_starts(rows, 3, 4, 50, 1)[3]

@@ -1,13 +1,15 @@
 import hashlib
+import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.contracts import ColumnType
 from tabloom.errors import TableError
-from tabloom.operators import preprocess, split
+from tabloom.operators import preprocess, selection, split
 from tabloom.operators.rows import row_hash, with_file_order
 from tabloom.operators.selection import exact_medians, hash_cutoffs, smallest_rows, within_cutoff
 
@@ -52,6 +54,20 @@ def test_hash_cutoffs_against_brute_force(spark, small):
     assert smallest_rows(rows, row_hash(F.col("id")), 10_000).count() == 3000
 
 
+@pytest.mark.parametrize("small, accuracy", [(0, 4096), (7, 32), (0, 8)])
+def test_exact_medians_in_the_order_of_doubles(spark, small, accuracy):
+    rng = random.Random(1)
+    columns = {
+        "normal": [rng.gauss(0, 1) for _ in range(501)], "zeros": [-0.0, 0.0] * 100 + [1.0], "not.a number": [math.nan] * 90 + [1.0] * 50, "same": [5.0] * 400,
+        "wide": [1e300, -1e300, 1e-310, -1e-310, 0.0, math.inf, -math.inf] * 30, "apart": [-2.5, -2.5, 7.0, 7.0] * 50, "empty": [],
+    }
+    rows = [tuple(v[k] if k < len(v) else None for v in columns.values()) for k in range(501)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in columns)).repartition(3)
+    want = df.agg(*[F.median(f"`{n}`") for n in columns]).first()
+    assert repr(list(exact_medians(df, list(columns), small, accuracy).values())) == repr(list(want))
+    assert [selection.unordered(k) for k in selection.ordered(np.array([-math.inf, -1.5, -0.0, 0.0, 3.0]))] == [-math.inf, -1.5, 0.0, 0.0, 3.0]
+
+
 @pytest.mark.parametrize("accuracy", [20, 10_000])
 def test_exact_medians_of_large_and_skewed_columns(spark, accuracy):
     rnd = random.Random(7)
